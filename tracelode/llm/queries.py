@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tracelode.llm import conversations as _conv
 from tracelode.llm import dedup_ledger as _ledger
+from tracelode.llm import language as _language
+from tracelode.llm import leakage as _leakage
+from tracelode.llm import tokenization as _tokens
 
 
 def _read(spark, sf_dir, name):
@@ -25,7 +28,27 @@ def p4_found(spark, sf_dir):
     return _conv.conversations(_read(spark, sf_dir, "msgs"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p4_found": p4_found}
+def p8_ids(spark, sf_dir):
+    return _tokens.token_ids(spark, _read(spark, sf_dir, "documents"))
+
+
+def p9_found(spark, sf_dir):
+    return _leakage.leaks(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark, sf_dir):
+    return _language.mislabelled(_language.document_languages(spark, _read(spark, sf_dir, "documents")))
+
+
+def p10_segments(spark, sf_dir):
+    """Every language of every document with its confidence and number of words."""
+    return _language.document_languages(spark, _read(spark, sf_dir, "documents")).select("doc_id", "lang", "confidence", "words")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_copies": p2_copies, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found,
+    "p10_found": p10_found, "p10_segments": p10_segments,
+}
 
 _P2_KEYS = r"""
 WITH parts AS (
