@@ -6,7 +6,9 @@ from tracelode.llm import conversations as _conv
 from tracelode.llm import dedup_ledger as _ledger
 from tracelode.llm import language as _language
 from tracelode.llm import leakage as _leakage
+from tracelode.llm import pairs as _pairs
 from tracelode.llm import tokenization as _tokens
+from tracelode.llm import truncation as _truncation
 
 
 def _read(spark, sf_dir, name):
@@ -28,6 +30,24 @@ def p4_found(spark, sf_dir):
     return _conv.conversations(_read(spark, sf_dir, "msgs"))
 
 
+def p3_found(spark, sf_dir):
+    return _pairs.defects(spark, _read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
+
+
+def p7_found(spark, sf_dir):
+    return _truncation.truncated(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
+
+
+def p7_rates(spark, sf_dir):
+    """How often each agent's replies are cut."""
+    return _truncation.rates(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
+
+
+def p7_limits(spark, sf_dir):
+    """The storage limits that the lengths expose, by agent and encoding."""
+    return _truncation.limits(_truncation.judged(_truncation.all_replies(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))))
+
+
 def p8_ids(spark, sf_dir):
     return _tokens.token_ids(spark, _read(spark, sf_dir, "documents"))
 
@@ -46,7 +66,8 @@ def p10_segments(spark, sf_dir):
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_copies": p2_copies, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found,
+    "p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found,
+    "p7_found": p7_found, "p7_rates": p7_rates, "p7_limits": p7_limits, "p8_ids": p8_ids, "p9_found": p9_found,
     "p10_found": p10_found, "p10_segments": p10_segments,
 }
 
