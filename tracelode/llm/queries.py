@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracelode.llm import conversations as _conv
 from tracelode.llm import dedup_ledger as _ledger
 from tracelode.llm import language as _language
 from tracelode.llm import leakage as _leakage
+from tracelode.llm import neighbours as _near
 from tracelode.llm import pairs as _pairs
 from tracelode.llm import tokenization as _tokens
 from tracelode.llm import truncation as _truncation
+from tracelode.plans.workspace import Workspace
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark, sf_dir):
+    keyed = _near.keyed_vectors(_read(spark, sf_dir, "pending_vectors"), _read(spark, sf_dir, "refs"))
+    return _near.similar_pairs(spark, keyed, 96).select(F.col("key_a").alias("hash_a"), F.col("key_b").alias("hash_b"))
+
+
+def p1_search(spark, sf_dir):
+    """Greedy graph search: every text whose lowest row_ref is divisible by 20 as a query against all texts."""
+    refs = _read(spark, sf_dir, "refs")
+    keyed = _near.keyed_vectors(_read(spark, sf_dir, "pending_vectors"), refs)
+    keyed = Workspace(spark, "search-input").save(keyed, "keyed")
+    asked = refs.groupBy("text_hash").agg(F.min("row_ref").alias("row_ref")).filter("row_ref % 20 = 0").select(F.xxhash64("text_hash").alias("node"))
+    nodes, graph = _near.neighbour_graph(spark, keyed.select("node", "vec"), 96)
+    found = _near.search(spark, nodes, graph, keyed.join(asked, "node", "left_semi").select("node", "vec"), 96)
+    rows = found.select("node", F.posexplode(F.arrays_zip("nbrs", "sims")).alias("rank", "e")).select("node", F.col("e.nbrs").alias("nbr"), "rank", F.col("e.sims").alias("sim"))
+    a, b = keyed.select("node", F.col("key").alias("text_hash")), keyed.select(F.col("node").alias("nbr"), F.col("key").alias("similar_hash"))
+    return rows.join(a, "node").join(b, "nbr").select("text_hash", "similar_hash", (F.col("rank") + 1).cast("int").alias("rank"), F.round(F.col("sim").cast("double"), 4).alias("cosine"))
+
+
 def p2_found(spark, sf_dir):
     _, members = _ledger.format_duplicates(spark, _read(spark, sf_dir, "msgs").select("id", "who", "text"))
     return members.select("keep_id", "copy_id")
@@ -66,6 +88,7 @@ def p10_segments(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_search": p1_search,
     "p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found,
     "p7_found": p7_found, "p7_rates": p7_rates, "p7_limits": p7_limits, "p8_ids": p8_ids, "p9_found": p9_found,
     "p10_found": p10_found, "p10_segments": p10_segments,

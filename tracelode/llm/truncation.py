@@ -75,6 +75,7 @@ def ending(t: Column, copies_prompt: Column) -> Column:
 
 
 _DOTTED = r"(?:^|[.!?…][\"”’»)]*\s+|\n)([^.!?…\n]*)(?:\.\.\.|…)$"
+_LAST_WORDS = r"((?:[\p{L}\p{N}'’_]+[^\p{L}\p{N}'’_]+){2}[\p{L}\p{N}'’_]+)[^\p{L}\p{N}]*$"
 _OPENING = r"^[^\p{L}\p{N}]*((?:[\p{L}\p{N}'’_]+[^\p{L}\p{N}'’_]+){2}[\p{L}\p{N}'’_]+)"
 
 
@@ -141,14 +142,17 @@ def judged(replies: DataFrame) -> DataFrame:
     ended = ended.join(remark.withColumn("closing", F.lit(True)), ["opening", "remark"], "left").drop("opening", "remark")
     whole_dots = (F.col("how") == "dots") & F.col("closing").isNotNull()
     unfinished = F.col("how").isin("mark", "fence", "escape", "open") | (F.col("how") == "dots") & ~whole_dots
-    ended = ended.withColumn("unfinished", unfinished).drop("closing")
-    # at a limit, endings that are only accepted for want of a sign (a path, a list item) count as cut
-    doubtful = ended.filter(F.col("how").isin("path", "list"))
-    known = limits(ended)
+    # an open end that usually closes replies may only lack its full stop: there a storage limit or a longer copy decides
+    tail = F.xxhash64(F.regexp_extract(F.lower("t"), _LAST_WORDS, 1))
+    known_tails = ended.filter(F.col("t").rlike(r"[.!?]$")).select(tail.alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("tail", F.lit(True).alias("known"))
+    ended = ended.withColumn("unfinished", unfinished).drop("closing").withColumn("tail", F.when(F.col("how") == "open", tail)).join(known_tails, "tail", "left").drop("tail")
+    doubtful = (F.col("how") == "open") & F.col("known").isNotNull()
+    ended = ended.withColumn("doubtful", doubtful).drop("known")
     at = reduce(Column.__or__, [(F.col("encoding") == n) & (F.col("limit") == c) for n, c in lengths(F.col("reply")).items()])
-    at_limit = doubtful.join(known.select("agent", "encoding", "limit"), "agent").filter(at).select("origin", "row_id").distinct()
+    at_limit = ended.filter("doubtful").join(limits(ended).select("agent", "encoding", "limit"), "agent").filter(at).select("origin", "row_id")
     proven = at_limit.unionByName(longer_copies(replies)).distinct().withColumn("proven", F.lit(True))
-    return ended.join(proven, ["origin", "row_id"], "left").withColumn("cut", F.col("unfinished") | F.col("proven").isNotNull()).drop("proven")
+    cut = F.col("unfinished") & ~F.col("doubtful") | F.col("proven").isNotNull()
+    return ended.join(proven, ["origin", "row_id"], "left").withColumn("cut", cut).drop("proven", "doubtful")
 
 
 def all_replies(raw: DataFrame, cached: DataFrame) -> DataFrame:
