@@ -32,8 +32,6 @@ def p6_found(spark, sf_dir):
     return incremental.changed_files(spark, _read(spark, sf_dir, "source_files"), _read(spark, sf_dir, "ingest_runs"), work.path)
 
 
-QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p6_found": p6_found}
-FLAGSHIP = "p5_found"
 
 _P5 = """
 WITH RECURSIVE claims AS (
@@ -49,7 +47,9 @@ ends AS (SELECT node, arg_max({'here': here, 'depth': depth, 'seen': seen, 'loop
 flat AS (SELECT node, e.here AS here, e.depth AS depth, e.seen AS seen, e.looped AS looped FROM ends)
 """
 
-SQL = {
+PROBLEM_QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p6_found": p6_found}
+
+PROBLEM_SQL = {
     "p5_found": _P5 + """
 SELECT node AS session, CASE WHEN looped THEN list_min(seen[list_position(seen, here):]) ELSE here END AS root, CAST(CASE WHEN looped THEN -1 ELSE depth END AS BIGINT) AS depth FROM flat""",
     "p5_paths": _P5 + """
@@ -66,3 +66,9 @@ SELECT CAST(run_no AS BIGINT) AS run_no, agent, path FROM seq
 WHERE prev IS NULL OR CASE WHEN h IS NOT NULL AND content_hash IS NOT NULL THEN h <> content_hash
   ELSE len IS DISTINCT FROM l OR mtime_secs IS DISTINCT FROM ms OR mtime_nanos IS DISTINCT FROM mn OR change_token IS DISTINCT FROM ct END""",
 }
+
+from tracelode import catalog_corpus, catalog_search  # noqa: E402
+
+QUERIES = {**catalog_search.QUERIES, **catalog_corpus.QUERIES, **PROBLEM_QUERIES}
+SQL = {**catalog_search.SQL, **catalog_corpus.SQL, **PROBLEM_SQL}
+FLAGSHIP = "search_ranked"

@@ -1 +1 @@
-"""tracelode.operators"""
+"""Operators over DataFrames of the data model."""

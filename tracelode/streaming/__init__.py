@@ -1 +1 @@
-"""tracelode.streaming"""
+"""Live session state over event streams."""
