@@ -1,0 +1,276 @@
+"""Operators of the core on small fixtures, many against plain Python."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tracelode import api, schema
+from tracelode.functions import boundary
+from tracelode.functions import text as fx
+from tracelode.operators import accounting, context, corpus, filters, fusion, hierarchy, incremental, lexical, ranking, semantic
+from tracelode.operators.filters import QuerySpec
+from tracelode.plans.skew import join_hot
+from tracelode.plans.workspace import Workspace
+
+
+def msgs(spark, rows):
+    base = dict(session="s", turn=0, ts=schema.NOW_MS, agent="claude", project="p", concept=None, model="m", model_source="explicit", who="user", text="", content_digest=None)
+    names = [c.split(" ")[0] for c in schema.MSGS.split(", ")]
+    return spark.createDataFrame([tuple({**base, "id": i, **r}[n] for n in names) for i, r in enumerate(rows)], schema.MSGS)
+
+
+def one(spark, expr, value="x", kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(expr(F.col("v"))).first()[0]
+
+
+# ---------------------------------------------------------------- functions
+
+def test_digest_vectors(spark):
+    got = [r[0] for r in spark.createDataFrame([("hello world",), ("",), ("café 🧡",), (None,)], "v string").select(fx.digest(F.col("v"))).collect()]
+    assert got == ["d2e7", "2325", "3072", None]
+
+
+def test_text_functions(spark):
+    assert fx.tokens(" open_snapshot-now x ") == ["open", "snapshot", "now", "x"]
+    assert fx.is_question("what degree did I do?") and not fx.is_question("open_snapshot") and not fx.is_question("rank key")
+    names = {"/home/me/work/atlas": "atlas", "C:\\Users\\ann": "C:/..", "/home/ann": "~", "/w/q/src": "q/src", "": "unknown", None: "unknown"}
+    for cwd, want in names.items():
+        got = one(spark, fx.project_name, cwd)
+        assert got == want or cwd == "C:\\Users\\ann" and got == "~"
+    for value, want in {"2024-01-01T00:00:00Z": 1704067200000, "2024-01-01T01:00:00.5+01:00": 1704067200500, "1704067200": 1704067200000, "1704067200000": 1704067200000, "junk": 0, None: 0}.items():
+        assert one(spark, fx.parse_timestamp, value) == want
+    assert one(spark, fx.redacted, "Authorization: Bearer abc123def456 --token=xyz https://u:p@h/ password: hunter2") == "Authorization: Bearer [redacted] --token=[redacted] https://[redacted]@h/ password: [redacted]"
+    assert one(spark, fx.summarized_input, '{"path": "a/b", "command": ["ls", "-l"], "z": 1}') == "ls -l · a/b"
+    assert [one(spark, fx.age_label, schema.NOW_MS - s * 1000, "bigint") for s in (5, 120, 7200, 86400 * 3)] == ["now", "2m", "2h", "3d"]
+    assert fx.parse_when("7d") == schema.NOW_MS - 7 * schema.DAY_MS and fx.parse_when("2024-01-01") == 1704067200000
+    assert one(spark, fx.is_wrapper, "  <system-reminder> x") is True and one(spark, fx.is_wrapper, "please") is False
+    kinds = spark.createDataFrame([("user", "", "Continue ", "p", False), ("recap", "<synthetic>", "x", "p", None), ("user", "<synthetic>", "x", "p", None), ("user", "", "hi", "a/_probe1", True), ("user", "", "hi", "p", True), ("user", None, "hi", None, None)], "w string, m string, t string, p string, s boolean")
+    assert [r[0] for r in kinds.select(fx.row_kind("w", F.col("m"), F.col("t"), F.col("p"), F.col("s")) if False else fx.row_kind(F.col("w"), F.col("m"), F.col("t"), F.col("p"), F.col("s"))).collect()] == ["control", "recap", "synthetic", "harness", "subagent", "user"]
+
+
+def test_snippets(spark):
+    text = "a" * 100 + " needle " + "b" * 300 + " thread " + "c" * 10
+    got = one(spark, lambda v: fx.snippet_at(v, F.instr(v, F.lit("needle")), F.lit(6)), text)
+    assert got == "…" + "a" * 79 + " needle " + "b" * 79 + "…"
+    spans = lexical.term_spans(F.col("v"), ["thread", "needle", "absent"])
+    wide = one(spark, lambda v: fx.snippet_of(v, spans), text)
+    assert wide.count("…") == 2 and "needle" in wide and "thread" in wide and wide.endswith("c")
+    assert one(spark, lambda v: fx.snippet_of(v, lexical.term_spans(v, ["a", "b"])), "a b") == "a b"
+
+
+def test_boundaries(spark):
+    cases = {("open_snapshot", "snapshot"): 1.0, ("snapshots", "snapshot"): 0.5, ("unlocked", "lock"): 0.0, ("HTTPServer", "Server"): 1.0, ("rank2", "rank"): 1.0, ("don't", "t"): 0.5, ("varΔ", "var"): 1.0}
+    for (text, term), want in cases.items():
+        at = text.lower().index(term.lower())
+        assert boundary.quality(text, at, at + len(term)) == want, (text, term)
+    for text, term in (("open_snapshot", "snapshot"), ("snapshots", "snapshot"), ("unlocked", "lock"), ("HTTPServer", "Server"), ("rank2", "rank")):
+        at = text.lower().index(term.lower())
+        assert one(spark, lambda v, t=term: boundary.ascii_quality(v, t), text) == boundary.quality(text, at, at + len(term))
+    assert boundary.factor([], []) == 1.0 and boundary.factor(["lock"], [1.0]) == 1.0 and boundary.factor(["lock"], [0.0]) == pytest.approx(0.6)
+    assert boundary.ambiguity("lock", {"lock": (68, 0)}) > boundary.prior("lock")
+
+
+# ---------------------------------------------------------------- search
+
+def test_lanes(spark):
+    rows = msgs(spark, [{"text": "call open_snapshot now"}, {"text": "snapshot is open"}, {"text": None}, {"text": ""}, {"text": "OPEN   Snapshot", "who": "agent"}, {"text": "reopen snapshots", "who": None, "session": None, "turn": None}])
+    spec = QuerySpec("open snapshot")
+    assert {r.id: r.matched for r in lexical.merged(rows, spec).collect()} == {0: None, 1: "all-terms", 4: None, 5: None}
+    assert {r.id for r in lexical.phrase(rows, spec).collect()} == {0, 4, 5} and {r.id for r in lexical.all_terms(rows, spec).collect()} == {0, 1, 4, 5}
+    assert {r.id for r in lexical.word(rows, QuerySpec("snapshot")).collect()} == {1, 4}
+    assert lexical.counts(rows, spec).first().asDict() == {"total": 4, "chats": 1, "tool_hits": 0}
+    for lane in (lexical.phrase, lexical.all_terms, lexical.merged, lexical.content, lexical.bm25):
+        assert lane(rows, QuerySpec("")).count() == 0
+        lane(rows.filter("false"), QuerySpec("open snapshot")).count()
+    page = api.search(rows, "open snapshot").collect()
+    assert [r.id for r in page][-1] == 1 and len(page) == 4
+    assert api.search(rows, "where is the snapshot gone?").first().matched == "content-terms"
+    assert {r.tier: r.rows for r in ranking.tiers(ranking.scored(lexical.merged(rows, spec), spec)).collect()} == {"phrase_aligned": 2, "partial": 1, "all_terms": 1}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "b", " ", "-", "_", "A", "é"]), max_size=12).map("".join))
+def test_phrase_pattern_agrees_with_python(text):
+    import re
+
+    pattern = re.compile(r"[\W_]*".join(["ab", "b"]), re.I)
+    java_like = re.compile(fx.phrase_pattern("ab b").replace(r"[^\p{L}\p{N}]*", r"[\W_]*"), re.I)
+    assert bool(pattern.search(text)) == bool(java_like.search(text))
+
+
+def test_filters(spark):
+    rows = msgs(spark, [{"who": None, "model": None}, {"who": "tool", "ts": None}, {"who": "user", "project": None, "agent": None}])
+    keep = lambda **k: {r.id for r in filters.matching(rows, QuerySpec(**k)).collect()}
+    assert keep(tools=False) == {0, 2} and keep(exclude_who=("user",)) == {0, 1} and keep(who=("tool",)) == {1} and keep(model="M") == {1, 2}
+    assert keep(since=1) == {0, 2} and keep(until=1) == {1} and keep(exclude_project="P") == {2} and keep(agent="LAU") == {0, 1}
+    with pytest.raises(ValueError):
+        QuerySpec(since=2, until=1)
+    assert filters.literal_of("foo(bar)?baz") == "foo" or filters.literal_of("foo(bar)?baz") == "baz"
+    assert filters.literal_of("a|b") is None and filters.literal_of("x+y") is None
+    assert [filters.semantic_admission(q) for q in ("", "load_refs", "why is it slow", "xkcd")] == ["empty", "identifier", None, "no-words"]
+
+
+def test_semantic(spark):
+    random.seed(1)
+    data = [(i, [random.gauss(0, 1) for _ in range(8)], i % 3) for i in range(60)]
+    v = spark.createDataFrame(data + [(99, [0.0] * 8, 0)], "id int, vec array<float>, g int")
+    q = data[0][1]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    want = sorted(range(60), key=lambda i: -cos(data[i][1], q))
+    assert [r.id for r in semantic.topk(semantic.similar(v, q), 5, ["id"]).collect()] == want[:5]
+    assert [r.id for r in semantic.quantised_topk(v, q, 5, ["id"]).collect()] == want[:5]
+    heads = semantic.grouped_topk(semantic.similar(v, q), "g", 2, 2, ["id"]).collect()
+    assert len(heads) == 4 and want[0] in {r.id for r in heads}
+    assert semantic.similar(v.filter("false"), q).count() == 0
+
+
+# ---------------------------------------------------------------- fusion
+
+def test_fusion(spark):
+    rows = spark.createDataFrame([(1, "a", "d1", "x", "user", True, 0), (2, "b", "d1", "x", "user", False, 1), (3, "b", "d1", "x", "user", False, 2), (4, "c", "d1", "x", "user", False, 3), (5, "c", None, "x", "user", False, 4), (6, "d", "d1", "x", "tool", False, 5)],
+                                 "id int, session string, content_digest string, snippet string, who string, meta boolean, place int")
+    folded = {r.id: r.also_in for r in fusion.folded(rows).collect()}
+    assert set(folded) == {2, 3, 5, 6} and folded[2] == 2
+    hits = spark.createDataFrame([(q, i, f"s{i % 4}", f"f{i % 3}", i) for q in (0, 1) for i in range(8)], "query_no int, id int, session string, family string, place int")
+    got = fusion.recalled(hits, 4).collect()
+    assert len({r.session for r in got}) == len(got) and [r.place for r in got] == sorted(r.place for r in got)
+    page = spark.createDataFrame([(i, f"s{i}", i, "word " * 20 + ("x" if i else "y"), "user", 1.0 - i / 10, i, "f") for i in range(8)], "id int, session string, turn int, snippet string, who string, score double, place int, family string")
+    assert len(fusion.composed(page)) == 3
+    near = {r.id: r.like for r in fusion.near_folded(page).collect()}
+    assert near[0] is None and near[2] == 1
+    lanes = spark.createDataFrame([(0, "phrase", "f1", "aligned", False, 0), (1, "phrase", "f1", "aligned", False, 1), (2, "phrase", "f2", "interior", False, 2), (3, "semantic", "f3", None, False, 3), (4, "all", "f4", None, False, 4), (5, "phrase", "f5", "aligned", True, 5)],
+                                  "id int, lane string, family string, boundary_class string, meta boolean, place int")
+    assert [r.id for r in fusion.diversified(lanes).orderBy("place").collect()] == [0, 1, 3, 2, 4, 5]
+
+
+# ---------------------------------------------------------------- hierarchy
+
+def brute(parents):
+    out = {}
+    for x in parents:
+        path, c = [x], x
+        while parents.get(c) is not None and parents[c] not in path:
+            c = parents[c]
+            path.append(c)
+        if parents.get(c) is not None:
+            cycle = path[path.index(parents[c]):]
+            out[x] = (min(cycle), -1, None)
+        else:
+            out[x] = (c, len(path) - 1, "/".join(reversed(path)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hierarchy_against_walks(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    parents = {f"n{i:02}": (None if rng.random() < 0.15 else f"n{rng.randrange(n):02}" if rng.random() < 0.1 else f"n{rng.randrange(max(1, i)):02}" if i else None) for i in range(n)}
+    parents["self"] = "self"
+    parents["lost"] = "nowhere"
+    df = spark.createDataFrame(list(parents.items()), "node string, parent string").withColumn("size", F.lit("clash"))
+    sets = hierarchy.nested_sets(spark, df).collect()
+    got = {r.node: (r.root, r.depth, "/".join(r.path) if r.path else None) for r in sets}
+    assert got == brute(parents)
+    below = {(a, b) for x, (_, d, p) in brute(parents).items() if d > 0 for a in p.split("/")[:-1] for b in [x]}
+    tree = {r.node: r for r in sets if not r.cyclic}
+    ranges = {(a, b) for a in tree for b in tree if tree[a].root == tree[b].root and tree[a].lft < tree[b].lft < tree[a].lft + tree[a].size}
+    assert ranges == {(a, b) for a, b in below if a in tree}
+
+
+def test_hierarchy_edges(spark):
+    assert hierarchy.nested_sets(spark, spark.createDataFrame([], "node string, parent string")).count() == 0
+    chain = spark.createDataFrame([(f"{i:03}", f"{i - 1:03}" if i else None) for i in range(70)] + [(None, "x"), ("000", ""), ("005", "004")], "node string, parent string")
+    got = {r.node: (r.root, r.depth, r.size) for r in hierarchy.nested_sets(spark, chain).collect()}
+    assert len(got) == 70 and got["069"] == ("000", 69, 1) and got["000"] == ("000", 0, 70)
+    sets = hierarchy.nested_sets(spark, chain)
+    assert hierarchy.descendants(sets, spark.createDataFrame([("060",)], "node string")).count() == 9
+    gone = hierarchy.nested_sets(spark, spark.createDataFrame([("a", "gone"), ("b", "a")], "node string, parent string"), keep_missing_parent=False)
+    assert {(r.node, r.root, r.depth, tuple(r.path)) for r in gone.collect()} == {("a", "a", 0, ("a",)), ("b", "a", 1, ("a", "b"))}
+
+
+# ---------------------------------------------------------------- incremental
+
+def files(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "obs_id bigint, run_no int, agent string, path string, len bigint, mtime_secs bigint, mtime_nanos int, change_token string, content_hash bigint, seen_at timestamp_ntz").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+
+
+def test_incremental(spark):
+    import datetime as dt
+
+    t = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    f = files(spark, [
+        (1, "a", "x", 1, 1, 0, "t", 7, t(1)), (1, "a", "x", 2, 1, 0, "t", 8, t(2)), (2, "a", "x", 9, 1, 0, "t", 8, t(3)),  # same hash: unchanged
+        (3, "a", "x", 99, 1, 0, "t", 5, t(4)),  # failed run
+        (4, "a", "x", 9, 1, 0, "t", None, t(5)), (4, "a", "y", None, None, None, None, None, t(5)), (5, "a", "y", None, None, None, None, None, t(6)), (5, "a", "x", 9, 2, 0, "t", None, t(6)), (5, "a", None, 1, 1, 1, "t", None, None)])
+    runs = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, "failed"), (4, "OK "), (5, "ok"), (6, "ok")], "run_no int, status string")
+    work = Workspace(spark, "t")
+    got = sorted((r.run_no, r.path or "") for r in incremental.changed_files(spark, f, runs, work.path).collect())
+    assert got == [(1, "x"), (4, "y"), (5, ""), (5, "x")]
+    # running again processes nothing twice
+    assert sorted((r.run_no, r.path or "") for r in incremental.changed_files(spark, f, runs, work.path).collect()) == got
+
+
+def test_incremental_survives_a_crash(spark):
+    target = incremental.VersionedTarget(spark, Workspace(spark, "crash").path, "k string, h bigint, w bigint")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, h bigint, w bigint")
+    assert incremental.process_run(target, 1, rows(("a", 1, 1)), ["k"], "h", ["w"])
+    rows(("zzz", 9, 9)).write.parquet(f"{target.path}/v2/state")  # a run that died before it published
+    assert target.version() == 1
+    assert incremental.process_run(target, 2, rows(("a", 1, 5), ("b", 2, 2)), ["k"], "h", ["w"])
+    assert not incremental.process_run(target, 2, rows(("c", 3, 3)), ["k"], "h", ["w"])
+    assert sorted((r.run_no, r.k) for r in target.outputs("k string").collect()) == [(1, "a"), (2, "b")]
+
+
+# ---------------------------------------------------------------- corpus, context, accounting, skew
+
+def test_corpus(spark):
+    m = spark.createDataFrame([(1, "a", "s", 0, "t", "r", 5, "m", None), (2, "a", "s", 0, "t", "longer", 0, "", ""), (3, "a", "s", 0, "other", None, 3, None, "p"), (4, "a", None, None, None, None, None, None, None)],
+                              "rm_id bigint, agent string, session string, turn int, text string, reply string, ts bigint, model string, parent string")
+    d = corpus.deduplicated(m)
+    assert sorted(r.rm_id for r in d.collect()) == [2, 3, 4]
+    turns = {r.rm_id: r.turn for r in corpus.renumbered(d.filter("session is not null")).collect()}
+    assert turns == {3: 0, 2: 1}
+    rows = msgs(spark, [{"model": "x"}, {"model": "", "turn": 1}, {"model": None, "turn": 2}, {"session": "q", "model": "a"}, {"session": "q", "turn": 1, "model": ""}, {"session": "q", "turn": 2, "model": "b"}, {"session": "z", "model": "<synthetic>"}])
+    assert [r.model_source for r in corpus.attributed_models(rows).orderBy("id").collect()] == ["explicit", "session", "session", "explicit", "ambiguous_session", "explicit", "unknown"]
+    e = spark.createDataFrame([("a", "s", "", 1), ("a", "s", "", 2), ("a", "s", "c", 4), ("a", "s", "c", 3), ("a", "s", None, 5)], "agent string, session string, call_id string, ts bigint")
+    assert sorted(r.ts for r in corpus.deduplicated_events(e, ["ts"]).collect()) == [1, 2, 3, 5]
+    assert corpus.with_call_ids(e, ["ts"]).filter("call_id = '' or call_id is null").count() == 0
+    assert {r.change for r in corpus.changed_sessions(rows, rows.filter("session <> 'z'")).collect()} == {"removed"}
+    assert corpus.refreshed(rows, rows.filter("id <> 1")).count() == 6
+
+
+def test_context(spark):
+    marks = spark.createDataFrame([("s", 10, 0), ("s", 20, 1), ("s", 20, 2), ("s", 30, 3)], "session string, ts bigint, turn int")
+    events = spark.createDataFrame([("s", 5, 1), ("s", 10, 2), ("s", 20, 3), ("s", 25, 4), ("s", 0, 5), ("s", None, 6), ("lost", 9, 7)], "session string, ts bigint, event_id bigint")
+    assert {r.event_id: r.turn for r in context.attributed_events(events, marks).collect()} == {1: 0, 2: 0, 3: 2, 4: 2, 5: 0, 6: 0, 7: None}
+    assert {r.event_id: r.turn for r in context.owned_events(events, marks).collect()} == {2: 0, 3: 2, 4: 2}
+    rows = msgs(spark, [{"turn": t, "who": "tool" if t in (2, 3, 4) else "user"} for t in range(8)] + [{"turn": None}, {"session": None}])
+    assert sorted(r.turn for r in api.around(rows, "s", 9, 1).collect()) == [6, 7]
+    assert context.tool_runs(rows, 3).first()["rows"] == 3
+    prefixes = {r.session: r.prefix for r in context.shortest_prefixes(spark.createDataFrame([("abcd1",), ("abcd2",), ("abce",), (None,), ("zz",)], "session string")).collect()}
+    assert prefixes == {"abcd1": "abcd1", "abcd2": "abcd2", "abce": "abce", "zz": "zz"}
+    recaps = msgs(spark, [{"turn": t, "who": "recap" if t in (2, 6) else "user" if t % 2 else "agent"} for t in range(9)])
+    assert sorted(r.turn for r in api.after_compaction(recaps, "s").collect()) == [3, 4, 5]
+    assert {r.dimension for r in filters.census(rows).collect()} == {"agent", "project", "who", "model"}
+
+
+def test_accounting(spark):
+    f = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3)], "path string, n int")
+    b = spark.createDataFrame([("a", 2), ("c", 1), ("d", 1)], "path string, n int")
+    assert {r.path: r.verdict for r in accounting.audit(f, b, ["path"]).collect()} == {"a": "ok", "b": "missing", "c": "short", "d": "stale"}
+
+
+def test_join_hot_equals_join(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = join_hot(rows, table, ["k"], "n", F.col("id"), rows_per_salt=200)
+    assert got.count() == 5000 and got.select("id").distinct().count() == 5000
+
+
+def test_recall_and_pack(spark):
+    rows = msgs(spark, [{"session": f"s{i % 3}", "turn": i, "text": "open_snapshot now" if i % 2 else "rank key", "id": i} for i in range(9)])
+    assert api.pack(rows, ["rank key", "open snapshot"]).groupBy("query_no").count().count() == 2
+    assert api.recall(rows, ["rank key", "open snapshot"], limit=3).select("session").distinct().count() == 3

@@ -2,8 +2,8 @@
 
 Subtree sizes are summed upward and preorder offsets downward with pointer doubling: after round k every node
 knows its 2^k-th ancestor, the number of its descendants nearer than 2^k, and the sums along its first 2^k steps
-up.  A chain a million deep takes twenty rounds.  Nodes that still have an ancestor when 2^k exceeds the number of
-unfinished nodes are in a cycle or below one; these are what is left unprocessed.
+up.  A chain a million deep takes twenty rounds.  Nodes that never come to a root are in a cycle or below one; these are
+what is left unprocessed when a round finishes no more nodes.
 
 Defined results: a node given twice keeps its smallest non-null parent; a null, blank or missing parent makes a
 root (``keep_missing_parent=True``: a parent without a row becomes the root's name, depth 0, but gets no row); a
@@ -65,11 +65,15 @@ def nested_sets(spark: SparkSession, nodes: DataFrame, *, keep_missing_parent: b
     state = links.select("node", "up", "listed", F.col("up").alias("anc"), F.coalesce("up", "node").alias("top"),
                          F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size"), F.col("node").alias("low"))
     state = work.save(state, "up-0")
+    before = None
     for k in range(max_rounds):
         active = state.filter(F.col("anc").isNotNull())
         left = active.count()
-        if left == 0 or 2**k > 2 * left:
+        # a tree with open nodes always finishes some in a round, so a round that finishes none leaves cycles only; their
+        # smallest name is known once 2^k steps go around the longest
+        if left == 0 or left == before and 2**k >= left:
             break
+        before = left
         gained = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("more"))
         far = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("low").alias("low2"))
         jumped = active.select("node", "anc").join(far, "anc").drop("anc")

@@ -1 +1 @@
-"""tracelode.sources"""
+"""Readers of session stores and writers of results."""
