@@ -57,17 +57,17 @@ def p3_found(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    return _truncation.truncated(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
+    return _truncation.truncated(spark, _read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
 
 
 def p7_rates(spark, sf_dir):
     """How often each agent's replies are cut."""
-    return _truncation.rates(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
+    return _truncation.rates(spark, _read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
 
 
 def p7_limits(spark, sf_dir):
     """The storage limits that the lengths expose, by agent and encoding."""
-    return _truncation.limits(_truncation.judged(_truncation.all_replies(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))))
+    return _truncation.limits(_truncation.judged(Workspace(spark, "truncation"), _truncation.all_replies(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))))
 
 
 def p8_ids(spark, sf_dir):

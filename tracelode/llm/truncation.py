@@ -13,16 +13,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm.dedup_ledger import squash
 from tracelode.plans.skew import join_hot
+from tracelode.plans.workspace import Workspace
 
 # What stores write when nothing was said, as letters and digits only.
 PLACEHOLDERS = ("", "na", "null", "none", "nil", "empty", "nooutput", "noresponse", "noreply", "noanswer", "nocontent", "undefined", "nan", "tbd", "blank", "emptyresponse", "emptyreply")
 
-_SPACE = r"[\s\p{Z}\p{Cc}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]+"
+# White space and invisible characters.
+_SPACE = "".join(map(chr, (*range(0x21), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 _MARK = r"(?i)(?:\s*[\[(<]\s*(?:truncated|cut|cut off|clipped|snip|snipped|output truncated|\.\.\.|…)\s*[\])>]|…|\.\.\.|\x{FFFD}+|-{1,3}|–|—)$"
 _CLOSER = "[)\\]\"”’»`'*_“]*"
 _PATH = r"[^\s/]*/[^\s]*\.[A-Za-z0-9]{1,6}(?::\d+)*" + "[)`\"']*"
@@ -30,11 +32,18 @@ _PATH = r"[^\s/]*/[^\s]*\.[A-Za-z0-9]{1,6}(?::\d+)*" + "[)`\"']*"
 
 def body(text: Column) -> Column:
     """The text without white space and invisible characters at its ends."""
-    return F.regexp_replace(text, rf"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(text, F.lit(_SPACE))
+
+
+def without_mark(t: Column) -> Column:
+    """A body without the cut mark at its end; only the end is searched."""
+    return F.concat(F.substring(t, F.lit(1), F.greatest(F.length(t) - 40, F.lit(0))), F.regexp_replace(F.right(t, F.lit(40)), _MARK, ""))
 
 
 def says_nothing(reply: Column) -> Column:
-    return reply.isNull() | squash(F.coalesce(reply, F.lit(""))).isin(*PLACEHOLDERS) & (F.length(F.coalesce(reply, F.lit(""))) < 40)
+    """Null, or nothing but a placeholder, punctuation or white space; only texts that could be one are looked at closely."""
+    squashed = F.when(F.length(reply) < 40, squash(reply)).when(~reply.rlike(r"[\p{L}\p{N}]"), "")
+    return reply.isNull() | F.coalesce(squashed.isin(*PLACEHOLDERS), F.lit(False))
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -47,35 +56,42 @@ def lengths(text: Column) -> dict[str, Column]:
     return {
         "code_points": F.length(text),
         "utf8": F.octet_length(text),
-        "utf16": F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")),
+        "utf16": F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", "")),
         "json": F.length(text) + count_of(text, "\"\\\n\r\t"),
         "entities": F.length(text) + 4 * count_of(text, "&'") + 3 * count_of(text, "<>") + 5 * count_of(text, '"'),
         "crlf": F.length(text) + newlines,
     }
 
 
+#: An ending shows within this many code points; patterns that look for it needn't walk over the whole text.
+_END = 240
+
+
 def ending(t: Column, copies_prompt: Column) -> Column:
     """How a body ends: whole, mark, dots, fence, escape, path, list or open."""
+    end = F.right(t, F.lit(_END))
     fences = F.length(t) - F.length(F.replace(t, F.lit("```"), F.lit("")))
-    last_line = F.regexp_extract(t, r"([^\n\r]*)$", 1)
+    last_line = F.substring_index(F.replace(t, F.lit("\r"), F.lit("\n")), "\n", -1)
     is_list = last_line.rlike(r"^\s*(?:[-*•+]|\d+[.)])\s+\S") & (F.size(F.split(F.trim(last_line), r"\s+")) <= 5)
-    half_path = last_line.rlike(r"/[^\s.]*$")
+    half_path = F.right(last_line, F.lit(_END)).rlike(r"/[^\s.]*$")
+    before_path = rf"[.!?:…]{_CLOSER}\s+|\n\s*(?:[-*•+]\s+)?"
+    path = F.when(F.length(t) <= _END, end.rlike(rf"(?:^|{before_path}){_PATH}$")).otherwise(end.rlike(rf"(?:{before_path}){_PATH}$"))
     return (
         F.when(copies_prompt, "whole")
         .when((fences % 6) == 3, "fence")
-        .when(t.rlike(r"(?:…|\.\.\.)$"), "dots")
-        .when(t.rlike(_MARK), "mark")
-        .when(t.rlike(r"(?:\\|\\u[0-9a-fA-F]{0,3}|&#?[A-Za-z0-9]{1,6})$"), "escape")
-        .when(t.rlike(r"(?:^|\s)[^\s]*/[^\s.]*\.$"), "open")
-        .when(t.rlike(rf"[.!?。！？؟]{_CLOSER}$") | t.rlike(r"(?:```|[`}};])$") | t.rlike(r"[\p{So}\p{Sk}\x{FE0F}\x{200D}]$"), "whole")
-        .when(t.rlike(rf"(?:^|[.!?:…]{_CLOSER}\s+|\n\s*(?:[-*•+]\s+)?){_PATH}$"), "path")
+        .when(end.endswith("…") | end.endswith("..."), "dots")
+        .when(end.rlike(_MARK), "mark")
+        .when(end.rlike(r"(?:\\|\\u[0-9a-fA-F]{0,3}|&#?[A-Za-z0-9]{1,6})$"), "escape")
+        .when(end.rlike(r"(?:^|\s)[^\s]*/[^\s.]*\.$"), "open")
+        .when(end.rlike(rf"[.!?。！？؟]{_CLOSER}$") | end.rlike(r"(?:```|[`}};])$") | end.rlike(r"[\p{So}\p{Sk}\x{FE0F}\x{200D}]$"), "whole")
+        .when(path, "path")
         .when(is_list & ~half_path, "list")
         .otherwise("open")
     )
 
 
 _DOTTED = r"(?:^|[.!?…][\"”’»)]*\s+|\n)([^.!?…\n]*)(?:\.\.\.|…)$"
-_LAST_WORDS = r"((?:[\p{L}\p{N}'’_]+[^\p{L}\p{N}'’_]+){2}[\p{L}\p{N}'’_]+)[^\p{L}\p{N}]*$"
+_LAST_WORDS = r"((?<![\p{L}\p{N}'’_])(?:[\p{L}\p{N}'’_]+[^\p{L}\p{N}'’_]+){2}[\p{L}\p{N}'’_]+)[^\p{L}\p{N}]*$"
 _OPENING = r"^[^\p{L}\p{N}]*((?:[\p{L}\p{N}'’_]+[^\p{L}\p{N}'’_]+){2}[\p{L}\p{N}'’_]+)"
 
 
@@ -91,18 +107,22 @@ def closing_remarks(replies: DataFrame) -> DataFrame:
     """
     nothing = F.xxhash64(F.lit(""))
     starts = replies.select(F.explode(F.split("t", r"(?<=[.!?…])\s+|\n")).alias("s")).select(_opening(F.col("s")).alias("opening")).filter(F.col("opening") != nothing)
-    dotted = replies.select(F.regexp_extract("t", _DOTTED, 1).alias("s")).filter("s != ''").select(_opening(F.col("s")).alias("opening"), squash(F.col("s")).alias("remark")).filter(F.col("opening") != nothing)
+    dotted = replies.filter((F.col("how") == "dots") & (F.col("opening") != nothing)).select("opening", "remark")
     remarks = dotted.groupBy("opening", "remark").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     total = starts.groupBy("opening").agg(F.count(F.lit(1)).alias("starts"))
     return remarks.join(total, "opening").filter(F.col("n") >= 0.9 * F.col("starts")).select("opening", "remark").distinct()
 
 
 def prepared(rows: DataFrame, origin: str, id_col: str) -> DataFrame:
-    """One table's replies in the common form."""
-    return rows.select(
-        F.lit(origin).alias("origin"), F.col(id_col).cast("bigint").alias("row_id"), "agent", "session", "turn", F.xxhash64("text").alias("prompt"),
-        "reply", body(F.col("reply")).alias("t"), F.coalesce(squash(F.col("text")) == squash(F.col("reply")), F.lit(False)).alias("copies"), F.col("reply_chars"),
-    ).filter(~says_nothing(F.col("reply")))
+    """One table's replies in the common form, with all that is read from a text: its body, ending and last words."""
+    copies = F.coalesce(squash(F.col("text")) == squash(F.col("reply")), F.lit(False))
+    kept = rows.filter(~says_nothing(F.col("reply"))).select(
+        F.lit(origin).alias("origin"), F.col(id_col).cast("bigint").alias("row_id"), "agent", "session", "turn", F.xxhash64("text").alias("prompt"), "reply", body(F.col("reply")).alias("t"), copies.alias("copies"), "reply_chars")
+    how = ending(F.col("t"), F.col("copies"))
+    ended = kept.withColumn("how", how)
+    dots = F.when(F.col("how") == "dots", F.regexp_extract("t", _DOTTED, 1))
+    tail = F.when(F.col("how").isin("open", "whole") & ~F.col("copies"), F.xxhash64(F.regexp_extract(F.lower(F.right("t", F.lit(_END // 2))), _LAST_WORDS, 1)))
+    return ended.withColumn("opening", _opening(dots)).withColumn("remark", squash(dots)).withColumn("tail", tail).withColumn("bare", without_mark(F.col("t")))
 
 
 def limits(replies: DataFrame, *, least: int = 5, share: float = 0.5, peak: float = 4.0) -> DataFrame:
@@ -125,7 +145,7 @@ def limits(replies: DataFrame, *, least: int = 5, share: float = 0.5, peak: floa
 def longer_copies(replies: DataFrame) -> DataFrame:
     """(origin, row_id) of replies that another delivery of the same reply continues."""
     keys = ["agent", "session", "turn", "prompt"]
-    bare = replies.select("origin", "row_id", *keys, F.regexp_replace("t", _MARK, "").alias("bare")).filter(F.col("session").isNotNull() & F.col("turn").isNotNull() & F.col("agent").isNotNull())
+    bare = replies.select("origin", "row_id", *keys, "bare").filter(F.col("session").isNotNull() & F.col("turn").isNotNull() & F.col("agent").isNotNull())
     longest = bare.groupBy(*keys).agg(F.max_by("bare", F.length("bare")).alias("full"), F.count(F.lit(1)).alias("n"), F.min(F.length("bare")).alias("least"))
     longest = longest.filter((F.col("n") > 1) & (F.col("least") < F.length("full"))).drop("least")
     both = join_hot(bare, longest, keys, "n", F.xxhash64("row_id"))
@@ -133,41 +153,38 @@ def longer_copies(replies: DataFrame) -> DataFrame:
     return both.filter(shorter).select("origin", "row_id").distinct()
 
 
-def judged(replies: DataFrame) -> DataFrame:
-    """``replies`` with ``how`` (its ending) and ``cut``: by ending, by storage limit or by a longer copy."""
-    ended = replies.withColumn("how", ending(F.col("t"), F.col("copies")))
-    dots = F.regexp_extract("t", _DOTTED, 1)
-    remark = closing_remarks(replies)
-    ended = ended.withColumn("opening", F.when(F.col("how") == "dots", _opening(dots))).withColumn("remark", F.when(F.col("how") == "dots", squash(dots)))
-    ended = ended.join(remark.withColumn("closing", F.lit(True)), ["opening", "remark"], "left").drop("opening", "remark")
-    whole_dots = (F.col("how") == "dots") & F.col("closing").isNotNull()
-    unfinished = F.col("how").isin("mark", "fence", "escape", "open") | (F.col("how") == "dots") & ~whole_dots
+def judged(work: Workspace, replies: DataFrame) -> DataFrame:
+    """``replies`` with ``unfinished`` (by its ending) and ``cut``: by ending, by a storage limit or by a longer copy.
+
+    The texts are parsed once and written; all that follows reads the columns it needs.
+    """
+    replies = work.save(replies, "replies")
+    remark = closing_remarks(replies).withColumn("closing", F.lit(True))
     # an open end that usually closes replies may only lack its full stop: there a storage limit or a longer copy decides
-    tail = F.xxhash64(F.regexp_extract(F.lower("t"), _LAST_WORDS, 1))
-    known_tails = ended.filter(F.col("t").rlike(r"[.!?]$")).select(tail.alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("tail", F.lit(True).alias("known"))
-    ended = ended.withColumn("unfinished", unfinished).drop("closing").withColumn("tail", F.when(F.col("how") == "open", tail)).join(known_tails, "tail", "left").drop("tail")
-    doubtful = (F.col("how") == "open") & F.col("known").isNotNull()
-    ended = ended.withColumn("doubtful", doubtful).drop("known")
+    known_tails = replies.filter((F.col("how") == "whole") & F.col("tail").isNotNull()).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("tail", F.lit(True).alias("known"))
+    marked = replies.join(remark, ["opening", "remark"], "left").join(known_tails, "tail", "left")
+    open_end = F.col("how").isin("mark", "fence", "escape", "open") | (F.col("how") == "dots") & F.col("closing").isNull()
+    marked = marked.withColumn("unfinished", open_end).withColumn("doubtful", (F.col("how") == "open") & F.col("known").isNotNull()).drop("closing", "known")
     at = reduce(Column.__or__, [(F.col("encoding") == n) & (F.col("limit") == c) for n, c in lengths(F.col("reply")).items()])
-    at_limit = ended.filter("doubtful").join(limits(ended).select("agent", "encoding", "limit"), "agent").filter(at).select("origin", "row_id")
+    at_limit = marked.filter("doubtful").join(limits(marked).select("agent", "encoding", "limit"), "agent").filter(at).select("origin", "row_id")
     proven = at_limit.unionByName(longer_copies(replies)).distinct().withColumn("proven", F.lit(True))
     cut = F.col("unfinished") & ~F.col("doubtful") | F.col("proven").isNotNull()
-    return ended.join(proven, ["origin", "row_id"], "left").withColumn("cut", cut).drop("proven", "doubtful")
+    return marked.join(proven, ["origin", "row_id"], "left").withColumn("cut", cut).drop("proven", "doubtful")
 
 
 def all_replies(raw: DataFrame, cached: DataFrame) -> DataFrame:
     return prepared(raw, "raw_messages", "rm_id").unionByName(prepared(cached, "cmsgs", "cm_id"))
 
 
-def truncated(raw: DataFrame, cached: DataFrame) -> DataFrame:
+def truncated(spark: SparkSession, raw: DataFrame, cached: DataFrame) -> DataFrame:
     """(origin, row_id) of the stored replies that are not whole."""
-    return judged(all_replies(raw, cached)).filter("cut").select("origin", "row_id")
+    return judged(Workspace(spark, "truncation"), all_replies(raw, cached)).filter("cut").select("origin", "row_id")
 
 
-def rates(raw: DataFrame, cached: DataFrame) -> DataFrame:
+def rates(spark: SparkSession, raw: DataFrame, cached: DataFrame) -> DataFrame:
     """(origin, agent, replies, cut, share, counted_longer): how often each source cuts; ``counted_longer`` says in how many cut
     rows the source's own count is above the stored length."""
-    j = judged(all_replies(raw, cached))
+    j = judged(Workspace(spark, "truncation"), all_replies(raw, cached))
     longer = F.col("cut") & (F.col("reply_chars") > F.octet_length("reply"))
     return j.groupBy("origin", "agent").agg(
         F.count(F.lit(1)).alias("replies"), F.count_if("cut").alias("cut"), F.round(F.count_if("cut") / F.count(F.lit(1)), 6).alias("share"),
