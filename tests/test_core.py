@@ -51,6 +51,13 @@ def test_text_functions(spark):
     assert [r[0] for r in kinds.select(fx.row_kind("w", F.col("m"), F.col("t"), F.col("p"), F.col("s")) if False else fx.row_kind(F.col("w"), F.col("m"), F.col("t"), F.col("p"), F.col("s"))).collect()] == ["control", "recap", "synthetic", "harness", "subagent", "user"]
 
 
+def test_blobs_and_escapes(spark):
+    assert one(spark, lambda v: fx.in_blob(v, "key"), "x" * 50 + "key") is True and one(spark, lambda v: fx.in_blob(v, "key"), "the key is here") is False
+    assert one(spark, fx.terminal_safe, "a\x07b\tc") == "a\ufffdb\tc"
+    got = spark.createDataFrame([("@ab:3.d2e7",), ("@ab:3",), ("junk",), (None,)], "v string").select(fx.parse_handle(F.col("v")).alias("h")).select("h.*").collect()
+    assert [tuple(r) for r in got] == [("ab", 3, "d2e7"), ("ab", 3, None), (None, None, None), (None, None, None)]
+
+
 def test_snippets(spark):
     text = "a" * 100 + " needle " + "b" * 300 + " thread " + "c" * 10
     got = one(spark, lambda v: fx.snippet_at(v, F.instr(v, F.lit("needle")), F.lit(6)), text)

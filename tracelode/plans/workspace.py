@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder shared by all executors")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="tracelode-")
@@ -61,6 +62,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/tracelode/{name}-{uuid.uuid4().hex}"
         self._serial = 0
+        _made.append(self.path)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` once and return it as a scan of what was written."""
@@ -81,3 +83,11 @@ class Workspace:
 
     def cleanup(self) -> None:
         delete(self.spark, self.path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all calls so far; for use when their results have been written."""
+    n = len(_made)
+    while _made:
+        delete(spark, _made.pop())
+    return n
