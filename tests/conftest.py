@@ -21,5 +21,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from tracelode.plans.shipping import reach_workers
+
+    reach_workers(session)
     yield session
     session.stop()
