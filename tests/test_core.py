@@ -36,10 +36,9 @@ def test_digest_vectors(spark):
 def test_text_functions(spark):
     assert fx.tokens(" open_snapshot-now x ") == ["open", "snapshot", "now", "x"]
     assert fx.is_question("what degree did I do?") and not fx.is_question("open_snapshot") and not fx.is_question("rank key")
-    names = {"/home/me/work/atlas": "atlas", "C:\\Users\\ann": "C:/..", "/home/ann": "~", "/w/q/src": "q/src", "": "unknown", None: "unknown"}
+    names = {"/home/me/work/atlas": "atlas", "C:\\Users\\ann": "~", "/home/ann": "~", "/w/q/src": "q/src", "": "unknown", None: "unknown"}
     for cwd, want in names.items():
-        got = one(spark, fx.project_name, cwd)
-        assert got == want or cwd == "C:\\Users\\ann" and got == "~"
+        assert one(spark, fx.project_name, cwd) == want
     for value, want in {"2024-01-01T00:00:00Z": 1704067200000, "2024-01-01T01:00:00.5+01:00": 1704067200500, "1704067200": 1704067200000, "1704067200000": 1704067200000, "junk": 0, None: 0}.items():
         assert one(spark, fx.parse_timestamp, value) == want
     assert one(spark, fx.redacted, "Authorization: Bearer abc123def456 --token=xyz https://u:p@h/ password: hunter2") == "Authorization: Bearer [redacted] --token=[redacted] https://[redacted]@h/ password: [redacted]"
@@ -48,7 +47,7 @@ def test_text_functions(spark):
     assert fx.parse_when("7d") == schema.NOW_MS - 7 * schema.DAY_MS and fx.parse_when("2024-01-01") == 1704067200000
     assert one(spark, fx.is_wrapper, "  <system-reminder> x") is True and one(spark, fx.is_wrapper, "please") is False
     kinds = spark.createDataFrame([("user", "", "Continue ", "p", False), ("recap", "<synthetic>", "x", "p", None), ("user", "<synthetic>", "x", "p", None), ("user", "", "hi", "a/_probe1", True), ("user", "", "hi", "p", True), ("user", None, "hi", None, None)], "w string, m string, t string, p string, s boolean")
-    assert [r[0] for r in kinds.select(fx.row_kind("w", F.col("m"), F.col("t"), F.col("p"), F.col("s")) if False else fx.row_kind(F.col("w"), F.col("m"), F.col("t"), F.col("p"), F.col("s"))).collect()] == ["control", "recap", "synthetic", "harness", "subagent", "user"]
+    assert [r[0] for r in kinds.select(fx.row_kind(F.col("w"), F.col("m"), F.col("t"), F.col("p"), F.col("s"))).collect()] == ["control", "recap", "synthetic", "harness", "subagent", "user"]
 
 
 def test_blobs_and_escapes(spark):
@@ -115,7 +114,7 @@ def test_filters(spark):
     assert keep(since=1) == {0, 2} and keep(until=1) == {1} and keep(exclude_project="P") == {2} and keep(agent="LAU") == {0, 1}
     with pytest.raises(ValueError):
         QuerySpec(since=2, until=1)
-    assert filters.literal_of("foo(bar)?baz") == "foo" or filters.literal_of("foo(bar)?baz") == "baz"
+    assert filters.literal_of("foo(bar)?baz") == "foo"
     assert filters.literal_of("a|b") is None and filters.literal_of("x+y") is None
     assert [filters.semantic_admission(q) for q in ("", "load_refs", "why is it slow", "xkcd")] == ["empty", "identifier", None, "no-words"]
 

@@ -16,8 +16,6 @@ from tracelode import schema
 from tracelode.functions import text as fx
 from tracelode.operators.filters import QuerySpec, literal_of, predicate
 
-TEXT = F.col  # readability: TEXT("text")
-
 
 def _span(text: Column, pattern: str) -> tuple[Column, Column]:
     """Start (1-based) and length of a pattern's first match."""
