@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,12 @@ def pool_size(k: int) -> int:
 def quantised_topk(vectors: DataFrame, query: list[float], k: int, ties: list[str], vec: str = "vec") -> DataFrame:
     """Candidates by int8 scores, then exact cosines of those: the pool is ``pool_size(k)`` rows."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    qq = quantised(q)
+    # the query's own quantisation is a constant
+    top = max((abs(x) for x in query), default=0.0) or 1.0
+    ints = [int(math.copysign(math.floor(abs(x) * 127 / top + 0.5), x)) for x in query]
+    size = math.sqrt(sum(x * x for x in ints)) or 1.0
     rows = vectors.withColumn("__q", quantised(F.col(vec)))
-    rough = F.aggregate(F.zip_with(F.col("__q.q"), qq["q"], lambda x, y: x * y), F.lit(0), lambda s, x: s + x) * F.col("__q.inv_norm") * qq["inv_norm"]
+    rough = F.aggregate(F.zip_with(F.col("__q.q"), F.array(*(F.lit(x) for x in ints)), lambda x, y: x * y), F.lit(0), lambda s, x: s + x) * F.col("__q.inv_norm") / size
     pool = rows.withColumn("rough", rough).orderBy(F.desc("rough"), *ties).limit(pool_size(k)).drop("__q")
     return topk(pool.withColumn("score", F.round(cosine(F.col(vec), q), 6)).filter(F.col("score").isNotNull()), k, ties).drop("rough")
 
