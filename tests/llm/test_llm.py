@@ -271,6 +271,23 @@ def test_opening_clusters_against_jaccard(spark):
     assert all(len({leaders[3 * g + k] for k in range(3)}) == 1 for g in range(8)) and len(set(leaders.values())) == 8
 
 
+def test_recurring_wordings_without_a_cue(spark):
+    rows = [(i, f"prompt {i}", f"Requests of that sort are not something I can take on, see docs/{i}.md for more.") for i in range(3)]
+    rows += [(10 + i, f"question {i}", "I can't reproduce the failure here, but the trace points at the lock.") for i in range(5)]  # recurs, but answers
+    rows += [(20 + i, f"wish {i}", "The easiest fix would be to sort the batch first and then call it once.") for i in range(5)]
+    rows += [(30 + i, "the same wish", "This task is not something I may touch at all today.") for i in range(5)]  # one prompt
+    rows += [(40, "once", "That other matter is not something I will go into."), (41, "alone", "I can't help with that.")]
+    replies = spark.createDataFrame(rows, "rm_id bigint, text string, reply string")
+    assert {r.rm_id for r in pairs.refusals(replies, Workspace(spark, "t")).collect()} == {0, 1, 2, 41}
+
+
+def test_components_of_openings(spark):
+    words = [f"w{i}" for i in range(40)]
+    chain = [(100 - k, words[k : k + 16]) for k in range(12)]  # each like the next one only
+    rows = spark.createDataFrame([*chain, (5, ["alone"])], "opening bigint, words array<string>")
+    assert {r.opening: r.leader for r in pairs.opening_clusters(rows).collect()} == {5: 5, **{100 - k: 89 for k in range(12)}}
+
+
 # ---------------------------------------------------------------- neighbours
 
 def clustered(n, dim=96, seed=0):

@@ -4,9 +4,11 @@
 reply was cut; ``language`` the reply is in another language than the prompt, which didn't ask for it.  A pair gets the first
 of these that holds.
 
-Refusals are found by their openings: names, paths and numbers are masked, distinct openings are clustered by MinHash over
-five-word shingles with verified similarity, and a cluster that recurs over unrelated prompts and mostly declines is a
-refusal template; short replies of such a cluster are refusals, also those whose wording has no known cue.
+Refusals are found by their openings: names, paths and numbers are masked, distinct openings are linked by MinHash over
+five-word shingles with verified similarity, and the links joined into components.  A component that recurs over unrelated
+prompts is a template; ordinary answers recur as well, so a template is a refusal only where most of its rows also decline
+by ``TEMPLATE_CUES``, a wider list than may be trusted in a single reply.  Short replies of such a template are refusals, also
+those whose wording has no known cue.  A reply that recurs nowhere is a refusal by the stricter ``REFUSAL_CUES`` alone.
 
 Defined results: a null prompt has no language and copies nothing; replies without a sentence of four words have no language;
 redelivered rows are judged each for itself; empty tables yield no rows; extra columns are ignored.
@@ -46,6 +48,19 @@ REFUSAL_CUES = "|".join([
     r"\bне (?:могу|буду|стану) (?:\w+ ){0,3}(?:помо|ответ|обсужд|выполн|сделать|рассматр|обработ)", r"\bвынужден[аы]? (?:\w+ ){0,2}отказ", r"\bя отказываюсь\b", r"\bмне (?:\w+ ){0,2}(?:нельзя|запрещено|не разрешено)",
 ])
 
+# Further wordings that decline, trusted only in an opening that recurs over unrelated prompts; inability to find out
+# something is a finding and no refusal.
+_FINDING = r"(?:\w+ ){0,2}(?:reproduce|find|see|tell|explain|confirm|verify|locate|open|read|access|detect|reach|connect|measure|rule out|think|recall|remember|spot|trace|run|build|compile|parse|load|repeat|test|check|know|understand|figure|make)\b"
+TEMPLATE_CUES = "|".join([
+    REFUSAL_CUES, r"\bmy (?:instructions|guidelines|rules|policies|policy)\b",
+    rf"\bi(?:'m| am)? (?:\w+ ){{0,2}}(?:can't|cannot|can not|won't|will not|unable to|not able to|not going to|not prepared to|not in a position to|not at liberty to) (?!{_FINDING})\w",
+    r"\bnot (?:something|anything|a (?:request|task|topic|question|thing)) (?:that )?i(?:'m| am| can| may| will|'ll)\b", r"\bnothing (?:that )?i (?:can|may|will|am able to|am allowed to) (?:do|say|offer|help|add)\b",
+    r"\b(?:off limits|out of scope|not open|closed) (?:to|for) me\b", r"\bi(?:'ll| will| must| have to| need to)? (?:have to |need to )?(?:say no|turn (?:\w+ ){1,3}down|stay out of|refrain|abstain)\b",
+    r"\b(?:ich|mir|mich)\b (?:\w+ ){0,5}(?:ablehnen|verweigern|absagen|enthalten|untersagt|verboten|verwehrt|verschlossen)\b", r"\b(?:je|me|m'est|m'en)\b (?:\w+ ){0,4}(?:refuse|refuser|decline|decliner|abstenir|abstiens|interdit|interdite)\b",
+    r"\b(?:debo|tengo que|quiero|prefiero|voy a|he de|me) (?:\w+ ){0,2}(?:rechazar|negar|declinar|rehusar|abstener|niego|abstengo|prohibido)", r"\b(?:devo|tenho|preciso|quero|prefiro|vou|me) (?:\w+ ){0,2}(?:recusar|negar|declinar|abster|abstenho|proibido)",
+    r"\b(?:devo|voglio|preferisco|mi) (?:\w+ ){0,2}(?:rifiutare|negare|declinare|astener|astengo|vietato)", r"\b(?:я|мне|меня) (?:\w+ ){0,4}(?:отказ|отклон|запрещ|воздерж|нельзя)",
+])
+
 # The languages' names in each of them, by stem.
 LANGUAGE_NAMES = {
     "en": r"english|englisch|anglais|ingles\b|inglese|английск", "de": r"german\b|deutsch|allemand|aleman\b|alemao|tedesco|немецк",
@@ -69,11 +84,10 @@ def shingles(words: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
 
 
-def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, leader) for distinct openings (opening hash, words): leaders are verified by exact Jaccard similarity.
+def opening_links(openings: DataFrame) -> DataFrame:
+    """(a, b), a < b: the distinct openings (opening hash, words) that share a band's bucket and are similar by exact Jaccard.
 
-    In each band's bucket every opening is compared with the bucket's smallest one, not with all: linear in the bucket,
-    which may be any size.  An opening follows the smallest leader to which it is similar enough.
+    All pairs of a bucket are verified.  Openings are distinct and masked, so a bucket holds a template's variants and not its rows.
     """
     sh = openings.select("opening", shingles(F.col("words")).alias("sh"))
 
@@ -84,12 +98,32 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
         return F.xxhash64(F.lit(b), *(least(b * ROWS_A_BAND + r) for r in range(ROWS_A_BAND)))
 
     buckets = sh.select("opening", "sh", F.explode(F.array(*(band(b) for b in range(BANDS)))).alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min_by(F.struct("opening", "sh"), "opening").alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = join_hot(buckets, first, ["bucket"], "n", F.col("opening"))
-    both = F.size(F.array_intersect("sh", "f.sh"))
-    alike = both >= SIMILARITY * (F.size("sh") + F.size("f.sh") - both)
-    led = pairs.filter(alike).groupBy("opening").agg(F.min("f.opening").alias("leader"))
-    return sh.select("opening").join(led, "opening", "left").select("opening", F.coalesce("leader", "opening").alias("leader"))
+    left, right = buckets.select("bucket", F.col("opening").alias("a"), F.col("sh").alias("sh_a")), buckets.select("bucket", F.col("opening").alias("b"), F.col("sh").alias("sh_b"))
+    both = F.size(F.array_intersect("sh_a", "sh_b"))
+    alike = both >= SIMILARITY * (F.size("sh_a") + F.size("sh_b") - both)
+    return left.join(right, "bucket").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+
+
+def opening_clusters(openings: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(opening, leader): the components of ``opening_links``, each named by its smallest opening.
+
+    Every round takes the smallest leader of the neighbours and then the leader's own one, until none changes.
+    """
+    work = work or Workspace(openings.sparkSession, "clusters")
+    links = opening_links(openings)
+    links = work.save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    state = work.save(links.select(F.col("a").alias("opening")).distinct().withColumn("leader", F.col("opening")), "leaders-0")
+    changed, k = True, 0
+    while changed:
+        k += 1
+        near = links.join(state.select(F.col("opening").alias("b"), "leader"), "b").groupBy(F.col("a").alias("opening")).agg(F.min("leader").alias("near"))
+        nearest = state.join(near, "opening").select("opening", F.least("leader", "near").alias("mid"), "leader")
+        above = state.select(F.col("opening").alias("mid"), F.col("leader").alias("far"))
+        following = work.save(nearest.join(above, "mid").select("opening", F.least("mid", "far").alias("leader"), (F.least("mid", "far") < F.col("leader")).alias("moved")), f"leaders-{k}")
+        changed = following.filter("moved").limit(1).count() > 0
+        work.drop(state)
+        state = following
+    return openings.select("opening").join(state.select("opening", "leader"), "opening", "left").select("opening", F.coalesce("leader", "opening").alias("leader"))
 
 
 def folded(text: Column) -> Column:
@@ -103,13 +137,12 @@ def refusals(replies: DataFrame, work: Workspace) -> DataFrame:
                           (F.length("reply") <= SHORT).alias("short"), F.when(F.length("reply") <= SHORT, folded(F.col("reply")).rlike(REFUSAL_CUES)).otherwise(False).alias("cue"))
     rows = rows.withColumn("opening", F.xxhash64(F.array_join("words", " ")))
     rows = work.save(rows, "openings")
-    distinct = rows.groupBy("opening").agg(F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n"), F.count_if("cue").alias("cues"),
-                                           F.approx_count_distinct("prompt").alias("prompts"))
-    distinct = work.save(distinct, "distinct")
-    led = distinct.select("opening", "n", "cues", "prompts").join(opening_clusters(distinct.select("opening", "words")), "opening")
-    # a cluster's prompts: at least those of its opening with the most
-    templates = led.groupBy("leader").agg(F.sum("n").alias("rows"), F.sum("cues").alias("cues"), F.max("prompts").alias("most"), F.count(F.lit(1)).alias("openings"))
-    templates = templates.filter((F.col("cues") >= 0.5 * F.col("rows")) & (F.greatest("most", "openings") >= MIN_PROMPTS)).select("leader")
+    distinct = rows.groupBy("opening").agg(F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("prompt").alias("prompts"))
+    distinct = work.save(distinct.withColumn("declines", folded(F.array_join("words", " ")).rlike(TEMPLATE_CUES)), "distinct")
+    led = work.save(distinct.select("opening", "n", "declines", "prompts").join(opening_clusters(distinct.select("opening", "words"), work), "opening"), "led")
+    # sketches of few prompts are exact; recurrence selects the templates, the wordings check what recurs
+    templates = led.groupBy("leader").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declining"), F.hll_sketch_estimate(F.hll_union_agg("prompts")).alias("over"))
+    templates = templates.filter(F.col("over") >= MIN_PROMPTS).filter(F.col("declining") >= 0.5 * F.col("rows")).select("leader")
     declining = led.join(templates, "leader", "left_semi").select("opening", F.col("n").alias("rows"))
     by_template = join_hot(rows.filter("short").select("rm_id", "opening"), declining, ["opening"], "rows", F.xxhash64("rm_id")).select("rm_id")
     return rows.filter("cue").select("rm_id").unionByName(by_template).distinct()
