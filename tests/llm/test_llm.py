@@ -281,6 +281,16 @@ def test_recurring_wordings_without_a_cue(spark):
     assert {r.rm_id for r in pairs.refusals(replies, Workspace(spark, "t")).collect()} == {0, 1, 2, 41}
 
 
+def test_refusals_of_any_length(spark):
+    more = " It would be better to ask the team that owns the store, as they can see the whole history." * 6
+    late = "The lock is held too long, so the second branch returns early." * 8 + " I can't help with the rest."
+    texts = ["I can't help with that." + more, "Thanks, " + "really " * 60 + "but I can’t help with that." + more, more + " The end.", late, "Hm. " * 50 + "I can't help with that.", "I won't discuss it\n" + "ab" * 50_000]
+    rows = [(i, f"prompt {i}", t) for i, t in enumerate(texts)]
+    rows += [(10 + i, f"wish {i}", "Requests of that sort are not something I can take on here, not today and not on any other day." + more) for i in range(3)]
+    replies = spark.createDataFrame(rows, "rm_id bigint, text string, reply string")
+    assert {r.rm_id for r in pairs.refusals(replies, Workspace(spark, "t")).collect()} == {0, 1, 4, 5, 10, 11, 12}
+
+
 def test_components_of_openings(spark):
     words = [f"w{i}" for i in range(40)]
     chain = [(100 - k, words[k : k + 16]) for k in range(12)]  # each like the next one only

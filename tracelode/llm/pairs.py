@@ -7,8 +7,8 @@ of these that holds.
 Refusals are found by their openings: names, paths and numbers are masked, distinct openings are linked by MinHash over
 five-word shingles with verified similarity, and the links joined into components.  A component that recurs over unrelated
 prompts is a template; ordinary answers recur as well, so a template is a refusal only where most of its rows also decline
-by ``TEMPLATE_CUES``, a wider list than may be trusted in a single reply.  Short replies of such a template are refusals, also
-those whose wording has no known cue.  A reply that recurs nowhere is a refusal by the stricter ``REFUSAL_CUES`` alone.
+by ``TEMPLATE_CUES``, a wider list than may be trusted in a single reply. Replies of such a template are refusals at any
+length, also those whose wording has no known cue.  A reply that recurs nowhere is a refusal by the stricter ``REFUSAL_CUES`` alone.
 
 Defined results: a null prompt has no language and copies nothing; replies without a sentence of four words have no language;
 redelivered rows are judged each for itself; empty tables yield no rows; extra columns are ignored.
@@ -30,7 +30,7 @@ from tracelode.plans.workspace import Workspace
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS_A_BAND = 16, 3
 OPENING_WORDS = 16
-SHORT = 260  # code points: a refusal has nothing else to say
+OPENING = 260  # code points: a refusal declines before it goes on; what declines later is a limit within an answer
 MIN_PROMPTS = 3
 
 # Wordings by which agents decline, folded to lower case with plain apostrophes.
@@ -73,7 +73,7 @@ _NAMES = {k: re.compile(v) for k, v in LANGUAGE_NAMES.items()}
 
 def opening_words(reply: Column) -> Column:
     """The first words of a reply, names, paths, code and numbers masked."""
-    masked = F.regexp_replace(reply, r"\S*[/_]\S*|\b\p{Ll}+\p{Lu}\w*|\d+", " x ")
+    masked = F.regexp_replace(reply, r"(?<!\S)[^\s/_]*+[/_]\S*|\b\p{Ll}+\p{Lu}\w*|\d+", " x ")
     plain = F.regexp_replace(F.lower(masked), "’", "'")
     return F.slice(F.filter(F.split(plain, r"[^\p{L}\p{N}']+"), lambda w: w != ""), 1, OPENING_WORDS)
 
@@ -131,10 +131,15 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "’‘áàâãäéèêëíìîïóòôõöúùûüçñё", "''aaaaaeeeeiiiiooooouuuucnе")
 
 
+def opening_text(reply: Column) -> Column:
+    """A reply up to the end of the sentence or line in which its code point ``OPENING`` stands; a shorter one in whole."""
+    return F.regexp_extract(reply, rf"(?s)^(.{{0,{OPENING}}}.*?)(?:(?<=[.!?…])\s|\n|$)", 1)
+
+
 def refusals(replies: DataFrame, work: Workspace) -> DataFrame:
     """(rm_id) of the replies that decline; ``replies`` has rm_id, text and reply."""
     rows = replies.select("rm_id", F.xxhash64(squash(F.col("text"))).alias("prompt"), opening_words(F.col("reply")).alias("words"),
-                          (F.length("reply") <= SHORT).alias("short"), F.when(F.length("reply") <= SHORT, folded(F.col("reply")).rlike(REFUSAL_CUES)).otherwise(False).alias("cue"))
+                          folded(opening_text(F.col("reply"))).rlike(REFUSAL_CUES).alias("cue"))
     rows = rows.withColumn("opening", F.xxhash64(F.array_join("words", " ")))
     rows = work.save(rows, "openings")
     distinct = rows.groupBy("opening").agg(F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("prompt").alias("prompts"))
@@ -144,7 +149,7 @@ def refusals(replies: DataFrame, work: Workspace) -> DataFrame:
     templates = led.groupBy("leader").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declining"), F.hll_sketch_estimate(F.hll_union_agg("prompts")).alias("over"))
     templates = templates.filter(F.col("over") >= MIN_PROMPTS).filter(F.col("declining") >= 0.5 * F.col("rows")).select("leader")
     declining = led.join(templates, "leader", "left_semi").select("opening", F.col("n").alias("rows"))
-    by_template = join_hot(rows.filter("short").select("rm_id", "opening"), declining, ["opening"], "rows", F.xxhash64("rm_id")).select("rm_id")
+    by_template = join_hot(rows.select("rm_id", "opening"), declining, ["opening"], "rows", F.xxhash64("rm_id")).select("rm_id")
     return rows.filter("cue").select("rm_id").unionByName(by_template).distinct()
 
 
