@@ -193,6 +193,16 @@ def test_mixtures(trained):
     assert [language.label_of(x) for x in ("en-US", "Deutsch", "français", "und", "", None, "??", "pt_BR")] == ["en", "de", "fr", None, None, None, None, "pt"]
 
 
+def test_segments_keep_their_places(trained):
+    de, it, en = SENTENCES["de"], SENTENCES["it"], SENTENCES["en"]
+    text = "user: " + de[2] + " " + de[0] + "\n```\nx = 1\n```\nagent: \u200b" + it[2] + "\n" + de[1] + " Bitte kurz warten."
+    got = language.segments(trained, text)
+    assert [x[0] for x in got] == ["de", "it", "de"] and all(0.9 <= x[3] <= 1 for x in got[:2])
+    cut = [text[x[1] : x[2]].strip().rstrip(".") for x in got]
+    assert cut == [(de[2] + " " + de[0]).rstrip("."), it[2].rstrip("."), de[1] + " Bitte kurz warten"]
+    assert [x[:3] for x in language.segments(trained, en[0] + " ok.")] == [("en", 0, len(en[0]) + 4)] and language.segments(trained, None) == []
+
+
 def test_mislabelled(spark):
     docs = [(k * 3 + j, t, lang) for k, (lang, ts) in enumerate(SENTENCES.items()) for j, t in enumerate(ts)]
     extra = [(100, SENTENCES["fr"][0], "German"), (101, SENTENCES["es"][0], None), (102, SENTENCES["en"][0], "en_GB"), (103, SENTENCES["en"][0] + " " + SENTENCES["ru"][0], "en"), (104, None, None), (105, "", "en"), (106, "ok thanks", "und")]

@@ -83,8 +83,8 @@ def p10_found(spark, sf_dir):
 
 
 def p10_segments(spark, sf_dir):
-    """Every language of every document with its confidence and number of words."""
-    return _language.document_languages(spark, _read(spark, sf_dir, "documents")).select("doc_id", "lang", "confidence", "words")
+    """Every stretch of one language of every document, with its place and confidence."""
+    return _language.document_segments(spark, _read(spark, sf_dir, "documents")).select("doc_id", "seg", "lang", "start", "end", "confidence", "words")
 
 
 QUERIES = {
