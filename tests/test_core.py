@@ -280,3 +280,26 @@ def test_recall_and_pack(spark):
     rows = msgs(spark, [{"session": f"s{i % 3}", "turn": i, "text": "open_snapshot now" if i % 2 else "rank key", "id": i} for i in range(9)])
     assert api.pack(rows, ["rank key", "open snapshot"]).groupBy("query_no").count().count() == 2
     assert api.recall(rows, ["rank key", "open snapshot"], limit=3).select("session").distinct().count() == 3
+
+
+def test_all_descendants(spark):
+    import random
+
+    from tracelode import catalog
+    from tracelode.operators import hierarchy
+
+    rng = random.Random(8)
+    up = {f"n{i}": f"n{rng.randrange(max(0, i - 6), i)}" if i % 50 else None for i in range(150)}
+    want = set()
+    for node in up:
+        at, k = up[node], 1
+        while at:
+            want.add((at, node, k))
+            at, k = up[at], k + 1
+    sets = hierarchy.nested_sets(spark, spark.createDataFrame([*up.items(), ("c", "d"), ("d", "c")], "node string, parent string"))
+    got = [tuple(r) for r in hierarchy.descendants(sets, sets).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {(r.ancestor, r.node, r.distance) for r in hierarchy.ancestors(sets).collect()} == want
+    assert {"p5_descendants"} <= set(catalog.QUERIES) & set(catalog.SQL)
+    plan = hierarchy.descendants(sets, sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert "level" in plan.split("Join Inner")[1].splitlines()[0]

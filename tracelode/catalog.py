@@ -27,6 +27,11 @@ def p5_paths(spark, sf_dir):
     return _family_sets(spark, sf_dir).select(F.col("node").alias("session"), F.array_join("path", "/").alias("path"), (F.col("size") - 1).alias("descendants"))
 
 
+def p5_descendants(spark, sf_dir):
+    """Every session with each of its descendants and their distance; none in cycles."""
+    return hierarchy.ancestors(_family_sets(spark, sf_dir)).select("ancestor", F.col("node").alias("session"), "distance")
+
+
 def p6_found(spark, sf_dir):
     work = Workspace(spark, "incremental")
     return incremental.changed_files(spark, _read(spark, sf_dir, "source_files"), _read(spark, sf_dir, "ingest_runs"), work.path)
@@ -47,7 +52,7 @@ ends AS (SELECT node, arg_max({'here': here, 'depth': depth, 'seen': seen, 'loop
 flat AS (SELECT node, e.here AS here, e.depth AS depth, e.seen AS seen, e.looped AS looped FROM ends)
 """
 
-PROBLEM_QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p6_found": p6_found}
+PROBLEM_QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p6_found": p6_found}
 
 PROBLEM_SQL = {
     "p5_found": _P5 + """
@@ -56,6 +61,8 @@ SELECT node AS session, CASE WHEN looped THEN list_min(seen[list_position(seen,
 , under AS (SELECT a AS node, count(*) - 1 AS n FROM (SELECT unnest(seen) AS a FROM flat WHERE NOT looped) GROUP BY a)
 SELECT node AS session, CASE WHEN NOT looped THEN array_to_string(list_reverse(seen), '/') END AS path, CAST(CASE WHEN NOT looped THEN n END AS BIGINT) AS descendants
 FROM flat LEFT JOIN under USING (node)""",
+    "p5_descendants": _P5 + """
+SELECT seen[i + 1] AS ancestor, node AS session, CAST(i AS BIGINT) AS distance FROM (SELECT node, seen, unnest(range(1, len(seen))) AS i FROM flat WHERE NOT looped)""",
     "p6_found": """
 WITH obs AS (
   SELECT s.*, row_number() OVER (PARTITION BY s.run_no, agent, path ORDER BY seen_at DESC, obs_id DESC) AS rn FROM source_files s JOIN ingest_runs r USING (run_no) WHERE r.status = 'ok'),

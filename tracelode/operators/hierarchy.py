@@ -120,10 +120,21 @@ def nested_sets(spark: SparkSession, nodes: DataFrame, *, keep_missing_parent: b
 
 
 def descendants(sets: DataFrame, of: DataFrame) -> DataFrame:
-    """(ancestor, node, distance) for the nodes in ``of``: a range join on the nested sets within each root."""
+    """(ancestor, node, distance) for the nodes in ``of``: a range join on the nested sets within each root.
+
+    A range is cut into its largest aligned blocks of 2^level numbers, at most two a level, and each number knows its block
+    of every level: an equality join that meets descendants only, also where one tree holds most of the rows.
+    """
     tree = sets.filter(~F.col("cyclic"))
-    heads = tree.join(of.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("ancestor"), "root", F.col("lft").alias("a"), (F.col("lft") + F.col("size")).alias("b"), F.col("depth").alias("d"))
-    return heads.join(tree, "root").filter((F.col("lft") > F.col("a")) & (F.col("lft") < F.col("b"))).select("ancestor", "node", (F.col("depth") - F.col("d")).alias("distance"))
+    largest = tree.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(int(largest).bit_length()))).alias("level")
+    heads = tree.join(of.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("ancestor"), "root", F.col("depth").alias("d"), "lft", "size", levels)
+    first, end = F.expr("shiftright(lft + shiftleft(1L, level), level)"), F.expr("shiftright(lft + size, level)")
+    heads = heads.withColumns({"first": first, "end": end}).filter("first < end")
+    blocks = F.array(F.when(F.col("first") % 2 == 1, F.col("first")), F.when(F.col("end") % 2 == 1, F.col("end") - 1))
+    heads = heads.select("ancestor", "root", "d", "level", F.explode(blocks).alias("block")).filter("block is not null")
+    nodes = tree.select("node", "root", "depth", "lft", levels).withColumn("block", F.expr("shiftright(lft, level)")).drop("lft")
+    return heads.join(nodes, ["root", "level", "block"]).select("ancestor", "node", (F.col("depth") - F.col("d")).alias("distance"))
 
 
 def ancestors(sets: DataFrame) -> DataFrame:
