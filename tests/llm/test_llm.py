@@ -161,6 +161,14 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(spark, df, it.filter("false")).count() == 0
 
 
+def test_leaks_with_edits_in_the_middle():
+    item = [f"w{i}" for i in range(18)]
+    changed = item[:7] + ["x", "y", "z"] + item[10:]
+    pieces = leakage.Pieces([(1, " ".join(item)), (2, " ".join(item[:17]))])
+    assert pieces.found("before that " + " ".join(changed) + " after it") == [1]
+    assert pieces.found(" ".join([*changed[:5], "v", *changed[6:]])) == []
+
+
 # ---------------------------------------------------------------- languages
 
 SENTENCES = {

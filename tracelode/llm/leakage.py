@@ -1,8 +1,9 @@
 """Evaluation texts that leak into training text: pigeonhole edit matching.
 
 A passage leaks if ``min_words`` consecutive words of it stand in a document with at most ``edits`` words changed,
-added or left out (a longer stretch at the same rate always holds one of this length).  Cut such a window into
-``edits + 1`` pieces: one of them stands in the document unchanged.  So every run of a piece's length of each
+added or left out, or a longer stretch at the same rate: with 12 words and two edits, every such stretch can be cut into
+windows of 12 words with two and of 18 words with three, and one of these keeps within its edits.  Cut a window with
+``n`` edits into ``n + 1`` pieces: one of them stands in the document unchanged.  So every run of a piece's length of each
 item is looked up in each document, and each hit is verified with Myers' bit-parallel distance over words.
 
 Defined results: case, punctuation, markup, quotes, spacing and invisible characters are ignored; null and empty
@@ -66,7 +67,9 @@ class Pieces:
     """All runs of a piece's length of a block of items, by their words."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS, edits: int = EDITS):
-        self.window, self.edits, self.size = min_words, edits, min_words // (edits + 1)
+        self.size = min_words // (edits + 1)
+        # every number of edits from ``edits`` up is a sum of these
+        self.windows = [(min_words, edits)] + [(-(-n * min_words // edits), n) for n in range(edits + 1, 2 * edits)]
         self.items = [(k, w) for k, t in items if len(w := words(t)) >= min_words]
         self.at: dict[tuple, list[tuple[int, int]]] = {}
         for n, (_, w) in enumerate(self.items):
@@ -85,13 +88,14 @@ class Pieces:
 
     def verified(self, item: list[str], doc: list[str], i: int, j: int) -> bool:
         """Whether a window of the item around its piece at ``i`` stands around place ``j`` of the document."""
-        side = self.window - self.size
-        near = doc[max(0, j - side - self.edits) : j + self.window + self.edits]
-        there = set(near)
-        for s in range(max(0, i - side), min(i, len(item) - self.window) + 1):
-            pattern = item[s : s + self.window]
-            if sum(w in there for w in pattern) >= self.window - self.edits and within(pattern, near, self.edits):
-                return True
+        for window, edits in self.windows:
+            side = window - self.size
+            near = doc[max(0, j - side - edits) : j + window + edits]
+            there = set(near)
+            for s in range(max(0, i - side), min(i, len(item) - window) + 1):
+                pattern = item[s : s + window]
+                if sum(w in there for w in pattern) >= window - edits and within(pattern, near, edits):
+                    return True
         return False
 
 
