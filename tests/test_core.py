@@ -303,3 +303,10 @@ def test_all_descendants(spark):
     assert {"p5_descendants"} <= set(catalog.QUERIES) & set(catalog.SQL)
     plan = hierarchy.descendants(sets, sets)._jdf.queryExecution().optimizedPlan().toString()
     assert "level" in plan.split("Join Inner")[1].splitlines()[0]
+
+
+def test_chats_about_without_a_cap(spark):
+    from tracelode.operators import context
+
+    rows = spark.createDataFrame([(f"s{i}", "a", "p", "c", "the tern index", i) for i in range(50)], "session string, agent string, project string, concept string, text string, ts bigint")
+    assert context.chats_about(rows, "tern index", None).count() == 50 and context.chats_about(rows, "tern index").count() == 40

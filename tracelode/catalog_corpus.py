@@ -259,7 +259,7 @@ def chats_list(spark, d):
 @_add("chats_topic", """SELECT session, count(*) FILTER (contains(lower(text), 'tern') AND contains(lower(text), 'index')) AS text_rows FROM msgs WHERE session IS NOT NULL GROUP BY session
 HAVING bool_or(contains(lower(concat_ws(' ', session, agent, project, concept)), 'tern') AND contains(lower(concat_ws(' ', session, agent, project, concept)), 'index')) OR text_rows > 0""")
 def chats_topic(spark, d):
-    return context.chats_about(tables.msgs(spark, d), "tern index", 1_000_000).select("session", "text_rows")
+    return context.chats_about(tables.msgs(spark, d), "tern index", None).select("session", "text_rows")
 
 
 _HOT = "(SELECT session FROM msgs WHERE who = 'recap' AND session IS NOT NULL GROUP BY session ORDER BY max(turn) DESC NULLS LAST, session LIMIT 1)"

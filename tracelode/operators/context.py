@@ -98,7 +98,7 @@ def chats(rows: DataFrame, limit: int | None = 40, sides: DataFrame | None = Non
     return ordered.limit(limit) if limit else ordered
 
 
-def chats_about(rows: DataFrame, topic: str, limit: int = 40) -> DataFrame:
+def chats_about(rows: DataFrame, topic: str, limit: int | None = 40) -> DataFrame:
     """Chats whose agent, project or name holds every word of a topic, or whose texts do within one row; with matching rows."""
     words = fx.tokens(topic)
     name = F.concat_ws(" ", "session", "agent", "project", "concept")
@@ -106,7 +106,8 @@ def chats_about(rows: DataFrame, topic: str, limit: int = 40) -> DataFrame:
     for w in words:
         by_name, by_text = by_name & fx.has(name, w), by_text & fx.has(F.coalesce("text", F.lit("")), w)
     hits = rows.filter(F.col("session").isNotNull()).groupBy("session").agg(F.count_if(by_text).alias("text_rows"), F.max(by_name).alias("by_name"), F.max(F.coalesce("ts", F.lit(0))).alias("last_ts"))
-    return hits.filter("by_name or text_rows > 0").orderBy(F.desc("by_name"), F.desc("text_rows"), F.desc("last_ts"), "session").limit(limit)
+    ordered = hits.filter("by_name or text_rows > 0").orderBy(F.desc("by_name"), F.desc("text_rows"), F.desc("last_ts"), "session")
+    return ordered.limit(limit) if limit else ordered
 
 
 def find_session(rows: DataFrame, name: str) -> DataFrame:
