@@ -1,5 +1,6 @@
 """The training-data operators on small fixtures, against brute force, round trips and held-out accuracy."""
 
+import functools
 import json
 import random
 import re
@@ -146,27 +147,66 @@ def test_leaks_against_brute_force(spark):
                 part[k : k + 1] = rng.choice([[], ["zz"], [part[k], "yy"]])
         docs.append((d, "** " + ", ".join(words[:10]) + " “" + "_ ".join(part).upper() + "” " + " ".join(words[10:])))
     docs += [(100, None), (101, ""), (102, items[3][1]), (102, items[3][1])]
-    want = set()
-    for i, t in items:
-        w = leakage.words(t)
-        for d, text in docs:
-            for s in range(len(w) - 11):
-                if distance(w[s : s + 12], leakage.words(text)) <= 2 and leakage.words(text):
-                    want.add((i, d))
-                    break
+    want = {(i, d) for i, t in items for d, text in docs if leaks_by_force(leakage.words(t), leakage.words(text))}
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (5000, 3):
-        assert {(r.item_id, r.doc_id) for r in leakage.leaks(spark, df, it, items_a_pass=block).collect()} == want
+    for block in (1 << 20, 300):
+        assert {(r.item_id, r.doc_id) for r in leakage.leaks(spark, df, it, bytes_a_pass=block).collect()} == want
     assert leakage.leaks(spark, df, it.filter("false")).count() == 0
 
 
+def words_kept(a, b, edits):
+    """The most words of a that stand in a stretch of b within some edits, by trying all alignments."""
+    @functools.lru_cache(None)
+    def go(i, j, e):
+        best = 0 if i == len(a) else -99
+        if i < len(a):
+            if j < len(b) and a[i] == b[j]:
+                best = max(best, 1 + go(i + 1, j + 1, e))
+            if e:
+                best = max(best, go(i + 1, j, e - 1), go(i + 1, j + 1, e - 1) if j < len(b) else -99)
+        return max(best, go(i, j + 1, e - 1)) if e and j < len(b) else best
+
+    return max(go(0, j, edits) for j in range(len(b) + 1))
+
+
+def leaks_by_force(item, doc):
+    return any(words_kept(tuple(item[s:e]), tuple(doc), (e - s) // 6) >= 12 for s in range(len(item)) for e in range(s + 12, len(item) + 1))
+
+
+def test_windows_cover_every_leak():
+    rng = random.Random(6)
+    seen = set()
+    for _ in range(60):
+        item = [f"w{k}" for k in range(rng.choice([12, 14, 18, 24, 30]))]
+        doc = list(item)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(doc))
+            doc[k : k + 1] = rng.choice([[], ["zz"], [doc[k], "yy"]])
+        doc = ["a", "b", *doc, "c"]
+        seen.add(leaks_by_force(item, doc))
+        assert (leakage.Pieces([(1, " ".join(item))]).found(" ".join(doc)) == [1]) == leaks_by_force(item, doc), (item, doc)
+    assert seen == {True, False}
+
+
+def test_words_kept():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b, e = [rng.choice("abc") for _ in range(rng.randint(1, 7))], [rng.choice("abc") for _ in range(rng.randint(0, 9))], rng.randint(0, 3)
+        got, want = leakage.kept(a, b, e), words_kept(tuple(a), tuple(b), e)
+        assert got == want or (got < 0 and want < 0)
+
+
 def test_leaks_with_edits_in_the_middle():
     item = [f"w{i}" for i in range(18)]
     changed = item[:7] + ["x", "y", "z"] + item[10:]
     pieces = leakage.Pieces([(1, " ".join(item)), (2, " ".join(item[:17]))])
     assert pieces.found("before that " + " ".join(changed) + " after it") == [1]
     assert pieces.found(" ".join([*changed[:5], "v", *changed[6:]])) == []
+    other = [f"v{i}" for i in range(12)]
+    # two words of twelve changed leave ten: no case; twelve with two words between them are one
+    assert leakage.Pieces([(3, " ".join(other))]).found(" ".join([*other[:4], "x", *other[5:8], "y", *other[9:]])) == []
+    assert leakage.Pieces([(3, " ".join(other))]).found(" ".join([*other[:4], "x", *other[4:8], "y", *other[8:]])) == [3]
 
 
 # ---------------------------------------------------------------- languages
