@@ -269,11 +269,10 @@ CACHED = "cm_id bigint, agent string, session string, turn int, text string, rep
 def test_endings(spark):
     cases = {
         "All of it is here.": "whole", "Really (yes)?": "whole", "We moved the fla": "open", "We moved the flag…": "dots", "We moved the flag [truncated]": "mark", "We moved the fl�": "mark", "He said “done.”": "whole", "Like this:\n```\nx = 1\n```": "whole",
-        "Like this:\n```\nx = 1": "fence", "It is done. 👍": "whole", "See below.\n- load\n- src/a/b.py": "list", "It is fixed. src/a/b.py:12": "path", "The lease on src/a/b.py": "open", "The file is in src/a.": "open", "Escaped \\u00e": "escape", "Tom &am": "escape", "Broken--": "mark", "Trailing  \n​.​ ": "whole",
+        "Like this:\n```\nx = 1": "fence", "It is done. 👍": "whole", "See below.\n- load\n- src/a/b.py": "path", "It is fixed. src/a/b.py:12": "path", "The lease on src/a/b.py": "open", "The file is in src/a.": "open", "Escaped \\u00e": "escape", "Tom &am": "escape", "Broken--": "mark", "Trailing  \n​.​ ": "whole",
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.how for r in rows.select("t", truncation.ending(truncation.body(F.col("t")), F.lit(False)).alias("how")).collect()}
-    got["See below.\n- load\n- src/a/b.py"] = "list" if got["See below.\n- load\n- src/a/b.py"] in ("list", "path") else "?"
     assert got == cases
     sizes = spark.createDataFrame([("a\"é🎉\n<&",)], "t string").select(*(c.alias(k) for k, c in truncation.lengths(F.col("t")).items())).first()
     t = "a\"é🎉\n<&"
@@ -297,11 +296,40 @@ def test_truncated(spark):
     assert shares[("raw_messages", "a")] == (7, 2)
 
 
+def reply_of(rng, size, end):
+    """A reply of random words, cut to a size."""
+    words = "the batch page store lease reader index first after before never again slower row file lock writer old new last".split()
+    text = ""
+    while len(text) < size:
+        text += rng.choice(words) + rng.choice([" ", " ", " ", ". ", ", "])
+    return text[: size - len(end)] + end
+
+
 def test_limits_are_exposed(spark):
     rng = random.Random(4)
-    rows = [("a", "x" * rng.randint(20, 400) + ".", False) for _ in range(300)] + [("a", "y" * 300, True) for _ in range(12)]
-    found = truncation.limits(spark.createDataFrame(rows, "agent string, reply string, unfinished boolean")).collect()
-    assert {(r.encoding, r.limit) for r in found} == {(e, 300) for e in ("code_points", "utf8", "utf16", "json", "entities", "crlf")}
+    whole = [(i, "a", f"s{i}", 0, f"ask {i}", reply_of(rng, rng.randint(80, 400), "end."), 0) for i in range(300)]
+    # a store that keeps 300 bytes: most end within a word, some happen to end with a sentence, one in code
+    cut = [(1000 + i, "b", f"c{i}", 0, f"ask {i}", reply_of(rng, 300, "wri"), 0) for i in range(12)]
+    border = [(1100 + i, "b", f"d{i}", 0, f"ask {i}", reply_of(rng, 300, f" {rng.choice('abcdefgh')}{i} done."), 0) for i in range(20)]
+    code = [(1200, "b", "e", 0, "ask", reply_of(rng, 300, "\n```\nx = 1\n```"), 0)]
+    template = [(1300 + i, "b", f"f{i}", 0, f"ask {i}", f"I moved it behind a flag now, see no. {100 + i} there.", 0) for i in range(20)]
+    rows = whole + cut + border + code + template
+    found = truncation.storage_limits(spark, spark.createDataFrame(rows, RAW), spark.createDataFrame([], CACHED)).collect()
+    assert {(r.agent, r.encoding, r.limit, r.unfinished) for r in found} == {("b", "code_points", 300, True), ("b", "code_points", 300, False)}
+    got = {r.row_id for r in truncation.truncated(spark, spark.createDataFrame(rows, RAW), spark.createDataFrame([], CACHED)).collect()}
+    assert got == {r[0] for r in cut + border}
+    few = {r.row_id for r in truncation.truncated(spark, spark.createDataFrame(whole + border[:1], RAW), spark.createDataFrame([], CACHED)).collect()}
+    assert few == set()  # without a limit the same reply is whole
+
+
+def test_limits_in_another_encoding(spark):
+    rng = random.Random(8)
+    rows = [(i, "a", f"s{i}", 0, f"ask {i}", reply_of(rng, rng.randint(80, 400), "end."), 0) for i in range(200)]
+    for i in range(20):  # 300 bytes of UTF-8 with some letters of two
+        text = "é" * rng.randint(1, 40) + " "
+        rows.append((1000 + i, "a", f"c{i}", 0, f"ask {i}", text + reply_of(rng, 300 - len(text.encode()), f" {i} done."), 0))
+    found = truncation.storage_limits(spark, spark.createDataFrame(rows, RAW), spark.createDataFrame([], CACHED)).collect()
+    assert [(r.encoding, r.limit, r.unfinished) for r in found] == [("utf8", 300, False)]
 
 
 def test_pairs(spark):

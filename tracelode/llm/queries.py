@@ -67,7 +67,7 @@ def p7_rates(spark, sf_dir):
 
 def p7_limits(spark, sf_dir):
     """The storage limits that the lengths expose, by agent and encoding."""
-    return _truncation.limits(_truncation.judged(Workspace(spark, "truncation"), _truncation.all_replies(_read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))))
+    return _truncation.storage_limits(spark, _read(spark, sf_dir, "raw_messages"), _read(spark, sf_dir, "cmsgs"))
 
 
 def p8_ids(spark, sf_dir):

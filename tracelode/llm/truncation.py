@@ -1,18 +1,20 @@
 """Text cut off by field limits or in transfer.
 
 Lengths of every reply are taken under several encodings (code points, UTF-8, UTF-16, JSON escapes, entity escapes,
-CR LF line ends) and grouped by source; lengths at which replies without an ending pile up are storage limits.  Then the
-endings are inspected: cut marks, open code fences, broken escapes, stops within a sentence, a word or a path.  A
-copy of the same reply that goes on proves a cut as well; the counted length of the source does not, it is only reported.
-
-Defined results: null, blank and placeholder replies are not cut; a reply that only repeats its prompt is not cut; a
-closing remark that always ends in dots is whole; empty tables yield no rows; extra columns are ignored.
+CR LF line ends) and counted by source, apart for replies that seem finished and unfinished.  A length at which far more
+different replies pile up than around it is a storage limit: those replies were cut there, also where the cut fell on the end of
+a sentence.  Different means by their first and last characters, so that one template or one text delivered often is no limit.
+Where nothing piles up, the ending decides: cut marks, open code fences, broken escapes, stops within a sentence, a word
+or a path.  A copy of the same reply that goes on proves a cut as well; the counted length of the source does not, it is only
+reported.  An open end in words that otherwise close replies may only lack its full stop: there a limit or a copy must confirm.
+
+Defined results: null, blank and placeholder replies are not cut; a reply that only repeats its prompt is not cut; one that ends in
+code, a path, a list or an emoji is whole, whatever its length; a closing remark that always ends in dots is whole; empty
+tables yield no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,46 +108,66 @@ def closing_remarks(replies: DataFrame) -> DataFrame:
     rows by hash aggregates that combine before they shuffle.
     """
     nothing = F.xxhash64(F.lit(""))
-    starts = replies.select(F.explode(F.split("t", r"(?<=[.!?…])\s+|\n")).alias("s")).select(_opening(F.col("s")).alias("opening")).filter(F.col("opening") != nothing)
     dotted = replies.filter((F.col("how") == "dots") & (F.col("opening") != nothing)).select("opening", "remark")
     remarks = dotted.groupBy("opening", "remark").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    starts = replies.select(F.explode(F.split("t", r"(?<=[.!?…])\s+|\n")).alias("s")).select(_opening(F.col("s")).alias("opening")).filter(F.col("opening") != nothing)
     total = starts.groupBy("opening").agg(F.count(F.lit(1)).alias("starts"))
     return remarks.join(total, "opening").filter(F.col("n") >= 0.9 * F.col("starts")).select("opening", "remark").distinct()
 
 
 def prepared(rows: DataFrame, origin: str, id_col: str) -> DataFrame:
-    """One table's replies in the common form, with all that is read from a text: its body, ending and last words."""
+    """One table's replies in the common form, with all that is read from a text: its body, ending, lengths and last words."""
     copies = F.coalesce(squash(F.col("text")) == squash(F.col("reply")), F.lit(False))
     kept = rows.filter(~says_nothing(F.col("reply"))).select(
-        F.lit(origin).alias("origin"), F.col(id_col).cast("bigint").alias("row_id"), "agent", "session", "turn", F.xxhash64("text").alias("prompt"), "reply", body(F.col("reply")).alias("t"), copies.alias("copies"), "reply_chars")
-    how = ending(F.col("t"), F.col("copies"))
-    ended = kept.withColumn("how", how)
+        F.lit(origin).alias("origin"), F.col(id_col).cast("bigint").alias("row_id"), "agent", "session", "turn", F.xxhash64("text").alias("prompt"), body(F.col("reply")).alias("t"), copies.alias("copies"), "reply_chars",
+        F.array(*(c.cast("int") for c in lengths(F.col("reply")).values())).alias("lens"))
+    ended = kept.withColumn("how", ending(F.col("t"), F.col("copies")))
     dots = F.when(F.col("how") == "dots", F.regexp_extract("t", _DOTTED, 1))
     tail = F.when(F.col("how").isin("open", "whole") & ~F.col("copies"), F.xxhash64(F.regexp_extract(F.lower(F.right("t", F.lit(_END // 2))), _LAST_WORDS, 1)))
-    return ended.withColumn("opening", _opening(dots)).withColumn("remark", squash(dots)).withColumn("tail", tail).withColumn("bare", without_mark(F.col("t")))
+    stops = (F.col("how") == "whole") & ~F.col("copies") & F.right("t", F.lit(12)).rlike(rf"[.!?。！？؟]{_CLOSER}$")
+    return ended.withColumn("stops", stops).withColumn("opening", _opening(dots)).withColumn("remark", squash(dots)).withColumn("tail", tail)
 
 
-def limits(replies: DataFrame, *, least: int = 5, share: float = 0.5, peak: float = 4.0) -> DataFrame:
-    """(agent, encoding, limit, rows, cut): lengths where unfinished replies of a source pile up.
+def limits(replies: DataFrame, *, peak: float = 4.0, sigmas: float = 6.0) -> DataFrame:
+    """(agent, encoding, limit, unfinished, rows, kinds, around): lengths where replies of a source pile up.
 
-    ``replies`` has agent, reply and ``unfinished``.  A limit holds at least ``least`` replies, most of them unfinished, and
-    ``peak`` times as many as the lengths around it on average.
+    ``replies`` has agent, lens (in the order of ``lengths``), unfinished and t.  ``kinds`` is the number of different replies, by their
+    first 24 or last 12 code points, whichever is less (by sketches that are practically exact where it is small); a limit has
+    ``peak`` times as many as the 16 lengths around it, ``around`` on average, and is ``sigmas`` standard deviations above.  Of the
+    encodings that expose the same limit the one with the most kinds is kept, of equal ones the first.
     """
-    measured = replies.select("agent", "unfinished", *(c.alias(k) for k, c in lengths(F.col("reply")).items()))
     names = list(lengths(F.lit("")))
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("encoding"), F.col(n).cast("int").alias("limit")) for n in names)))
-    counted = measured.select("agent", "unfinished", pairs.alias("p")).groupBy("agent", "p.encoding", "p.limit").agg(F.count(F.lit(1)).alias("rows"), F.count_if("unfinished").alias("cut"))
+    measured = replies.select("agent", "unfinished", F.xxhash64(F.left("t", F.lit(24))).alias("head"), F.xxhash64(F.right("t", F.lit(12))).alias("end"), F.posexplode("lens").alias("enc", "limit"))
+    kinds = F.least(F.approx_count_distinct("head"), F.approx_count_distinct("end"))
+    counted = measured.groupBy("agent", "enc", "limit", "unfinished").agg(F.count(F.lit(1)).alias("rows"), kinds.alias("kinds"))
     # one row a distinct length: the neighbourhood is bounded, a plain equi-join with shifted copies
-    near = counted.select("agent", "encoding", F.explode(F.array(*(F.lit(d) for d in range(-8, 9) if d))).alias("d"), "limit", "rows").groupBy(
-        "agent", "encoding", (F.col("limit") + F.col("d")).alias("limit")).agg((F.sum("rows") / 16).alias("around"))
-    found = counted.filter((F.col("cut") >= least) & (F.col("cut") >= share * F.col("rows"))).join(near, ["agent", "encoding", "limit"], "left")
-    return found.filter(F.col("rows") >= peak * F.coalesce("around", F.lit(0.0))).select("agent", "encoding", "limit", "rows", "cut")
+    near = counted.select("agent", "enc", "unfinished", F.explode(F.array(*(F.lit(d) for d in range(-8, 9) if d))).alias("d"), "limit", "kinds").groupBy(
+        "agent", "enc", (F.col("limit") + F.col("d")).alias("limit"), "unfinished").agg((F.sum("kinds") / 16).alias("around"))
+    # null agents are a source of their own
+    same = F.col("c.agent").eqNullSafe(F.col("n.agent"))
+    for c in ("enc", "limit", "unfinished"):
+        same = same & (F.col(f"c.{c}") == F.col(f"n.{c}"))
+    both = counted.alias("c").join(near.alias("n"), same, "left").select("c.*", F.coalesce("n.around", F.lit(0.0)).alias("around"))
+    found = both.filter((F.col("kinds") >= peak * F.col("around")) & (F.col("kinds") >= F.col("around") + sigmas * F.sqrt(F.col("around") + 1)))
+    a, b = found.alias("a"), found.alias("b")
+    better = (F.col("b.kinds") > F.col("a.kinds")) | (F.col("b.kinds") == F.col("a.kinds")) & (F.col("b.enc") < F.col("a.enc"))
+    hidden = F.col("a.agent").eqNullSafe(F.col("b.agent")) & (F.col("a.unfinished") == F.col("b.unfinished")) & (F.abs(F.col("a.limit") - F.col("b.limit")) <= 16) & better
+    encoding = F.get(F.array(*map(F.lit, names)), F.col("a.enc"))
+    return a.join(b, hidden, "left_anti").select("a.agent", encoding.alias("encoding"), "a.limit", "a.unfinished", "a.rows", "a.kinds", F.round("a.around", 4).alias("around"))
+
+
+def at_limits(replies: DataFrame, found: DataFrame) -> DataFrame:
+    """(origin, row_id) of the replies whose length stands at a limit of their source and of their kind of ending."""
+    names = F.array(*map(F.lit, lengths(F.lit(""))))
+    rows = replies.select("origin", "row_id", F.coalesce("agent", F.lit("\0")).alias("agent"), "unfinished", F.explode(F.arrays_zip(names.alias("encoding"), F.col("lens").alias("limit"))).alias("l"))
+    known = found.select(F.coalesce("agent", F.lit("\0")).alias("agent"), "encoding", "limit", "unfinished", "rows")
+    return join_hot(rows.select("origin", "row_id", "agent", "unfinished", "l.*"), known, ["agent", "encoding", "limit", "unfinished"], "rows", F.xxhash64("row_id")).select("origin", "row_id").distinct()
 
 
 def longer_copies(replies: DataFrame) -> DataFrame:
     """(origin, row_id) of replies that another delivery of the same reply continues."""
     keys = ["agent", "session", "turn", "prompt"]
-    bare = replies.select("origin", "row_id", *keys, "bare").filter(F.col("session").isNotNull() & F.col("turn").isNotNull() & F.col("agent").isNotNull())
+    bare = replies.filter(F.col("session").isNotNull() & F.col("turn").isNotNull() & F.col("agent").isNotNull()).select("origin", "row_id", *keys, without_mark(F.col("t")).alias("bare"))
     longest = bare.groupBy(*keys).agg(F.max_by("bare", F.length("bare")).alias("full"), F.count(F.lit(1)).alias("n"), F.min(F.length("bare")).alias("least"))
     longest = longest.filter((F.col("n") > 1) & (F.col("least") < F.length("full"))).drop("least")
     both = join_hot(bare, longest, keys, "n", F.xxhash64("row_id"))
@@ -153,23 +175,37 @@ def longer_copies(replies: DataFrame) -> DataFrame:
     return both.filter(shorter).select("origin", "row_id").distinct()
 
 
-def judged(work: Workspace, replies: DataFrame) -> DataFrame:
-    """``replies`` with ``unfinished`` (by its ending) and ``cut``: by ending, by a storage limit or by a longer copy.
+def marked(work: Workspace, replies: DataFrame) -> DataFrame:
+    """``replies``, parsed once and written, with ``unfinished`` and ``doubtful`` by their endings.
 
-    The texts are parsed once and written; all that follows reads the columns it needs.
+    Only rows with dots are joined with the closing remarks, only open ends with the known last words: a row without a key
+    takes part in no join.
     """
     replies = work.save(replies, "replies")
+    dots, rest = F.coalesce(F.col("how") == "dots", F.lit(False)), F.col("how").isin("mark", "fence", "escape", "open")
     remark = closing_remarks(replies).withColumn("closing", F.lit(True))
-    # an open end that usually closes replies may only lack its full stop: there a storage limit or a longer copy decides
-    known_tails = replies.filter((F.col("how") == "whole") & F.col("tail").isNotNull()).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("tail", F.lit(True).alias("known"))
-    marked = replies.join(remark, ["opening", "remark"], "left").join(known_tails, "tail", "left")
-    open_end = F.col("how").isin("mark", "fence", "escape", "open") | (F.col("how") == "dots") & F.col("closing").isNull()
-    marked = marked.withColumn("unfinished", open_end).withColumn("doubtful", (F.col("how") == "open") & F.col("known").isNotNull()).drop("closing", "known")
-    at = reduce(Column.__or__, [(F.col("encoding") == n) & (F.col("limit") == c) for n, c in lengths(F.col("reply")).items()])
-    at_limit = marked.filter("doubtful").join(limits(marked).select("agent", "encoding", "limit"), "agent").filter(at).select("origin", "row_id")
-    proven = at_limit.unionByName(longer_copies(replies)).distinct().withColumn("proven", F.lit(True))
-    cut = F.col("unfinished") & ~F.col("doubtful") | F.col("proven").isNotNull()
-    return marked.join(proven, ["origin", "row_id"], "left").withColumn("cut", cut).drop("proven", "doubtful")
+    dotted = replies.filter(dots).join(remark, ["opening", "remark"], "left").withColumn("unfinished", F.col("closing").isNull()).drop("closing").withColumn("doubtful", F.lit(False))
+    # last words are known to close replies if nine in ten of the replies that end in them are whole
+    tailed = (F.col("how") == "open") & F.col("tail").isNotNull()
+    counts = replies.filter(F.col("tail").isNotNull()).groupBy("tail").agg(F.count_if(F.col("how") == "whole").alias("whole"), F.count(F.lit(1)).alias("n"))
+    known = counts.filter((F.col("whole") >= 3) & (F.col("whole") < F.col("n")) & (F.col("whole") >= 0.9 * F.col("n"))).select("tail", F.lit(True).alias("known"))
+    opened = replies.filter(tailed).join(known, "tail", "left").withColumn("unfinished", F.lit(True)).withColumn("doubtful", F.col("known").isNotNull()).drop("known")
+    others = replies.filter(~dots & ~tailed).withColumn("unfinished", rest).withColumn("doubtful", F.lit(False))
+    return work.save(dotted.unionByName(opened).unionByName(others), "marked")
+
+
+def judged(work: Workspace, replies: DataFrame) -> DataFrame:
+    """(origin, row_id, agent, by_limit, by_copy, by_ending) of the cut replies, with the reasons that say so.
+
+    The texts are parsed once and written; all that follows reads the columns it needs, and only rows with a reason are shuffled.
+    """
+    rows = marked(work, replies)
+    able = rows.filter("unfinished or stops")  # code, paths, lists and emoji end a whole reply
+    limit = at_limits(able, limits(able)).select("origin", "row_id", F.lit("limit").alias("why"))
+    copy = longer_copies(rows).select("origin", "row_id", F.lit("copy").alias("why"))
+    ends = rows.filter("unfinished and not doubtful").select("origin", "row_id", F.lit("ending").alias("why"))
+    has = lambda why: F.max(F.col("why") == why).alias(f"by_{why}")
+    return limit.unionByName(copy).unionByName(ends).groupBy("origin", "row_id").agg(has("limit"), has("copy"), has("ending"))
 
 
 def all_replies(raw: DataFrame, cached: DataFrame) -> DataFrame:
@@ -178,15 +214,22 @@ def all_replies(raw: DataFrame, cached: DataFrame) -> DataFrame:
 
 def truncated(spark: SparkSession, raw: DataFrame, cached: DataFrame) -> DataFrame:
     """(origin, row_id) of the stored replies that are not whole."""
-    return judged(Workspace(spark, "truncation"), all_replies(raw, cached)).filter("cut").select("origin", "row_id")
+    return judged(Workspace(spark, "truncation"), all_replies(raw, cached)).select("origin", "row_id")
+
+
+def storage_limits(spark: SparkSession, raw: DataFrame, cached: DataFrame) -> DataFrame:
+    """The ``limits`` that the stored replies expose."""
+    return limits(marked(Workspace(spark, "truncation"), all_replies(raw, cached)).filter("unfinished or stops"))
 
 
 def rates(spark: SparkSession, raw: DataFrame, cached: DataFrame) -> DataFrame:
-    """(origin, agent, replies, cut, share, counted_longer): how often each source cuts; ``counted_longer`` says in how many cut
-    rows the source's own count is above the stored length."""
-    j = judged(Workspace(spark, "truncation"), all_replies(raw, cached))
-    longer = F.col("cut") & (F.col("reply_chars") > F.octet_length("reply"))
+    """(origin, agent, replies, cut, share, at_limit, longer_copy, counted_longer): how often each source cuts, and by which evidence;
+    ``counted_longer`` says in how many cut rows the source's own count is above the stored length."""
+    work = Workspace(spark, "truncation")
+    replies = work.save(all_replies(raw, cached), "all")
+    cut = judged(work, replies).withColumn("cut", F.lit(True))
+    j = replies.select("origin", "row_id", "agent", "reply_chars", F.col("lens")[1].alias("octets")).join(cut, ["origin", "row_id"], "left")
     return j.groupBy("origin", "agent").agg(
-        F.count(F.lit(1)).alias("replies"), F.count_if("cut").alias("cut"), F.round(F.count_if("cut") / F.count(F.lit(1)), 6).alias("share"),
-        F.count_if(longer).alias("counted_longer"),
+        F.count(F.lit(1)).alias("replies"), F.count("cut").alias("cut"), F.round(F.count("cut") / F.count(F.lit(1)), 6).alias("share"),
+        F.count_if("by_limit").alias("at_limit"), F.count_if("by_copy").alias("longer_copy"), F.count_if(F.col("cut") & (F.col("reply_chars") > F.col("octets"))).alias("counted_longer"),
     )
