@@ -377,6 +377,20 @@ def test_refusals_of_any_length(spark):
     assert {r.rm_id for r in pairs.refusals(replies, Workspace(spark, "t")).collect()} == {0, 1, 4, 5, 10, 11, 12}
 
 
+def test_refusals_by_form_alone(spark):
+    said = ["The batch is sorted now and the page loads again.", "Most of the time goes into the old reader.", "The second lock is never released there."]
+    rows = [(i, f"prompt {i}", "Vi måste tyvärr avstå från den här frågan." + (" Har du något annat?" if i % 2 else "")) for i in range(4)]
+    rows += [(10 + i, f"question {i}", f"Thanks a lot for that question. {said[i % 3]} {said[(i + 1) % 3]} {said[(i + 2) % 3]}") for i in range(5)]  # opens only, but goes on
+    rows += [(20 + i, f"wish {i}", said[i % 3]) for i in range(6)]  # recurs and ends, but is also said later
+    rows += [(30, "other", "Det var en bra fråga, men " + "vi måste tyvärr avstå från den här frågan.")]  # the same behind another opening
+    replies = spark.createDataFrame(rows, "rm_id bigint, text string, reply string")
+    found = pairs.refusals(replies, Workspace(spark, "t"), cues=None, wordings=None, declining=None)
+    assert {r.rm_id: r.why for r in found.collect()} == {0: "template", 1: "template", 2: "template", 3: "template", 30: "holds"}
+    assert pairs.refusals(replies.filter("false"), Workspace(spark, "t")).count() == 0
+    odd = spark.createDataFrame([(1, None, "!!!"), (2, "", "x"), (2, None, "x")], "rm_id bigint, text string, reply string")
+    assert pairs.refusals(odd, Workspace(spark, "t")).count() == 0
+
+
 def test_components_of_openings(spark):
     words = [f"w{i}" for i in range(40)]
     chain = [(100 - k, words[k : k + 16]) for k in range(12)]  # each like the next one only

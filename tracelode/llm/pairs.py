@@ -4,11 +4,13 @@
 reply was cut; ``language`` the reply is in another language than the prompt, which didn't ask for it.  A pair gets the first
 of these that holds.
 
-Refusals are found by their openings: names, paths and numbers are masked, distinct openings are linked by MinHash over
-five-word shingles with verified similarity, and the links joined into components.  A component that recurs over unrelated
-prompts is a template; ordinary answers recur as well, so a template is a refusal only where most of its rows also decline
-by ``TEMPLATE_CUES``, a wider list than may be trusted in a single reply. Replies of such a template are refusals at any
-length, also those whose wording has no known cue.  A reply that recurs nowhere is a refusal by the stricter ``REFUSAL_CUES`` alone.
+Refusals are found by the sentence with which a reply opens: names, paths and numbers are masked, distinct openings are linked by
+MinHash over five-word shingles with verified similarity, and the links joined into components.  A component is a *template* if it
+recurs over unrelated prompts and its words open replies only: they are neither said later in a reply nor in a prompt, as
+ordinary sentences are.  A template is a refusal if nothing of substance follows it, at most a closing sentence, in most of its replies,
+and it negates or declines at all (``DECLINING``, words of seven languages); one that is usually explained at length must also have a
+known wording (``WORDINGS``).  Replies of such a template are refusals at any length and in any wording, also where the template's
+words stand behind a polite opening of their own.  Only an opening that recurs nowhere is judged by the stricter ``REFUSAL_CUES``.
 
 Defined results: a null prompt has no language and copies nothing; replies without a sentence of four words have no language;
 redelivered rows are judged each for itself; empty tables yield no rows; extra columns are ignored.
@@ -32,6 +34,8 @@ BANDS, ROWS_A_BAND = 16, 3
 OPENING_WORDS = 16
 OPENING = 260  # code points: a refusal declines before it goes on; what declines later is a limit within an answer
 MIN_PROMPTS = 3
+ELSEWHERE = 0.1  # share of a template's occurrences that may stand in prompts or later in replies
+ENDING = 0.8  # share of a template's replies in which at most one sentence follows
 
 # Wordings by which agents decline, folded to lower case with plain apostrophes.
 REFUSAL_CUES = "|".join([
@@ -48,10 +52,9 @@ REFUSAL_CUES = "|".join([
     r"\bне (?:могу|буду|стану) (?:\w+ ){0,3}(?:помо|ответ|обсужд|выполн|сделать|рассматр|обработ)", r"\bвынужден[аы]? (?:\w+ ){0,2}отказ", r"\bя отказываюсь\b", r"\bмне (?:\w+ ){0,2}(?:нельзя|запрещено|не разрешено)",
 ])
 
-# Further wordings that decline, trusted only in an opening that recurs over unrelated prompts; inability to find out
-# something is a finding and no refusal.
+# Further wordings that decline, trusted only in a template; inability to find out something is a finding and no refusal.
 _FINDING = r"(?:\w+ ){0,2}(?:reproduce|find|see|tell|explain|confirm|verify|locate|open|read|access|detect|reach|connect|measure|rule out|think|recall|remember|spot|trace|run|build|compile|parse|load|repeat|test|check|know|understand|figure|make)\b"
-TEMPLATE_CUES = "|".join([
+WORDINGS = "|".join([
     REFUSAL_CUES, r"\bmy (?:instructions|guidelines|rules|policies|policy)\b",
     rf"\bi(?:'m| am)? (?:\w+ ){{0,2}}(?:can't|cannot|can not|won't|will not|unable to|not able to|not going to|not prepared to|not in a position to|not at liberty to) (?!{_FINDING})\w",
     r"\bnot (?:something|anything|a (?:request|task|topic|question|thing)) (?:that )?i(?:'m| am| can| may| will|'ll)\b", r"\bnothing (?:that )?i (?:can|may|will|am able to|am allowed to) (?:do|say|offer|help|add)\b",
@@ -61,6 +64,13 @@ TEMPLATE_CUES = "|".join([
     r"\b(?:devo|voglio|preferisco|mi) (?:\w+ ){0,2}(?:rifiutare|negare|declinare|astener|astengo|vietato)", r"\b(?:я|мне|меня) (?:\w+ ){0,4}(?:отказ|отклон|запрещ|воздерж|нельзя)",
 ])
 
+# Words and stems that negate or decline, folded.
+DECLINING = "|".join([
+    r"\bnot?\b|n't\b|\bcannot\b|\bunable\b|\bdeclin|\brefus|\bpass on\b|\bbeyond\b|\boutside\b|\bkeeps? me from\b|\bagainst\b", r"\bnicht\b|\bkein|\bablehn|\bverweiger|\babsag",
+    r"\bne\b|\bn'|\bpas\b|\binterdit", r"\brechaz|\bnegar|\bniego", r"\bnao\b|\brecus", r"\bnon\b|\brifiut|\bvietat", r"\bне\b|\bнельзя\b|\bотказ|\bотклон|\bзапрещ",
+])
+FINDINGS = rf"(?:can't|cannot|can not|couldn't|could not|unable to|not able to) {_FINDING}"
+
 # The languages' names in each of them, by stem.
 LANGUAGE_NAMES = {
     "en": r"english|englisch|anglais|ingles\b|inglese|английск", "de": r"german\b|deutsch|allemand|aleman\b|alemao|tedesco|немецк",
@@ -71,11 +81,20 @@ LANGUAGE_NAMES = {
 _NAMES = {k: re.compile(v) for k, v in LANGUAGE_NAMES.items()}
 
 
-def opening_words(reply: Column) -> Column:
-    """The first words of a reply, names, paths, code and numbers masked."""
-    masked = F.regexp_replace(reply, r"(?<!\S)[^\s/_]*+[/_]\S*|\b\p{Ll}+\p{Lu}\w*|\d+", " x ")
-    plain = F.regexp_replace(F.lower(masked), "’", "'")
-    return F.slice(F.filter(F.split(plain, r"[^\p{L}\p{N}']+"), lambda w: w != ""), 1, OPENING_WORDS)
+_MASK = r"(?<!\S)[^\s/_]*+[/_]\S*?(?=[.,;:!?…)\]\"']*(?:\s|$))|\b\p{Ll}+\p{Lu}\w*|\d+"
+_STOP = r"(?<=[.!?…])[\"'”’»)\]*_`]*\s+|[\r\n]+"
+
+
+def masked_sentences(text: Column) -> Column:
+    """The first words of each sentence of a text, names, paths, code and numbers masked; sentences without words are left out."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, _MASK, " x ")), "’", "'")
+    words = F.transform(F.split(plain, _STOP), lambda s: F.slice(F.filter(F.split(s, r"[^\p{L}\p{N}']+"), lambda w: w != ""), 1, OPENING_WORDS))
+    return F.filter(words, lambda w: F.size(w) > 0)
+
+
+def start_of(words: Column) -> Column:
+    """A sentence's start: the hash of its first five words."""
+    return F.xxhash64(F.array_join(F.slice(words, 1, SHINGLE), " "))
 
 
 def shingles(words: Column) -> Column:
@@ -136,21 +155,60 @@ def opening_text(reply: Column) -> Column:
     return F.regexp_extract(reply, rf"(?s)^(.{{0,{OPENING}}}.*?)(?:(?<=[.!?…])\s|\n|$)", 1)
 
 
-def refusals(replies: DataFrame, work: Workspace) -> DataFrame:
-    """(rm_id) of the replies that decline; ``replies`` has rm_id, text and reply."""
-    rows = replies.select("rm_id", F.xxhash64(squash(F.col("text"))).alias("prompt"), opening_words(F.col("reply")).alias("words"),
-                          folded(opening_text(F.col("reply"))).rlike(REFUSAL_CUES).alias("cue"))
-    rows = rows.withColumn("opening", F.xxhash64(F.array_join("words", " ")))
-    rows = work.save(rows, "openings")
-    distinct = rows.groupBy("opening").agg(F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("prompt").alias("prompts"))
-    distinct = work.save(distinct.withColumn("declines", folded(F.array_join("words", " ")).rlike(TEMPLATE_CUES)), "distinct")
-    led = work.save(distinct.select("opening", "n", "declines", "prompts").join(opening_clusters(distinct.select("opening", "words"), work), "opening"), "led")
+def openings(replies: DataFrame) -> DataFrame:
+    """(rm_id, prompt, words, opening, start, rest, elsewhere): each reply's opening, the number of sentences after it, and the
+    starts of these and of the prompt's sentences.  The opening is the first sentence of four words or more, else the first."""
+    rows = replies.select("rm_id", F.xxhash64(squash(F.col("text"))).alias("prompt"), masked_sentences(F.col("reply")).alias("ss"), F.coalesce(masked_sentences(F.col("text")), F.array()).alias("ps"))
+    rows = rows.filter(F.size("ss") > 0).withColumn("at", F.greatest(F.array_position(F.transform("ss", lambda w: F.size(w) >= 4), True), F.lit(1)).cast("int"))
+    later = F.slice("ss", F.col("at") + 1, F.greatest(F.size("ss") - F.col("at"), F.lit(0)))
+    rows = rows.select("rm_id", "prompt", F.get("ss", F.col("at") - 1).alias("words"), (F.size("ss") - F.col("at")).alias("rest"), F.transform(F.concat(later, F.col("ps").cast("array<array<string>>")), start_of).alias("elsewhere"))
+    return rows.withColumn("opening", F.xxhash64(F.array_join("words", " "))).withColumn("start", start_of(F.col("words")))
+
+
+def _says(words: Column, pattern: str | None, unless: str | None = None) -> Column:
+    """Whether folded words match a pattern; True without one."""
+    text = folded(F.array_join(words, " "))
+    return F.lit(True) if not pattern else (F.regexp_replace(text, unless, " ") if unless else text).rlike(pattern)
+
+
+def refusal_templates(rows: DataFrame, work: Workspace, *, wordings: str | None = WORDINGS, declining: str | None = DECLINING) -> tuple[DataFrame, DataFrame]:
+    """(templates, members) of ``openings``: (leader, rows, over, ending, worded, declines, refusal) of each component that recurs over
+    prompts and opens replies only, and (opening, leader, words, n) of its openings."""
+    distinct = rows.groupBy("opening").agg(F.any_value("words").alias("words"), F.any_value("start").alias("start"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("rest") <= 1).alias("ends"), F.hll_sketch_agg("prompt").alias("prompts"))
+    distinct = work.save(distinct, "distinct")
+    said = rows.select(F.explode("elsewhere").alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("said"))
+    starts = distinct.groupBy("start").agg(F.sum("n").alias("opened")).join(said, "start", "left").filter(F.coalesce("said", F.lit(0)) <= ELSEWHERE * (F.col("opened") + F.coalesce("said", F.lit(0))))
+    own = work.save(distinct.join(starts.select("start"), "start", "left_semi").select("opening", "words", "n", "ends", "prompts", _says(F.col("words"), wordings).alias("worded"), _says(F.col("words"), declining, FINDINGS).alias("declines")), "own")
+    led = work.save(own.join(opening_clusters(own.select("opening", "words"), work), "opening"), "led")
     # sketches of few prompts are exact; recurrence selects the templates, the wordings check what recurs
-    templates = led.groupBy("leader").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declining"), F.hll_sketch_estimate(F.hll_union_agg("prompts")).alias("over"))
-    templates = templates.filter(F.col("over") >= MIN_PROMPTS).filter(F.col("declining") >= 0.5 * F.col("rows")).select("leader")
-    declining = led.join(templates, "leader", "left_semi").select("opening", F.col("n").alias("rows"))
-    by_template = join_hot(rows.select("rm_id", "opening"), declining, ["opening"], "rows", F.xxhash64("rm_id")).select("rm_id")
-    return rows.filter("cue").select("rm_id").unionByName(by_template).distinct()
+    share = lambda flag: (F.sum(F.when(F.col(flag), F.col("n")).otherwise(0)) / F.sum("n")).alias(flag)
+    templates = led.groupBy("leader").agg(F.sum("n").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("prompts")).alias("over"), (F.sum("ends") / F.sum("n")).alias("ending"), share("worded"), share("declines"))
+    templates = templates.filter(F.col("over") >= MIN_PROMPTS)
+    known = F.lit(False) if not wordings else F.col("worded") >= 0.5
+    templates = templates.withColumn("refusal", (F.col("ending") >= ENDING) & (F.col("declines") >= 0.5) | known)
+    return work.save(templates, "templates"), led.select("opening", "leader", "words", "n")
+
+
+def refusals(replies: DataFrame, work: Workspace, *, cues: str | None = REFUSAL_CUES, wordings: str | None = WORDINGS, declining: str | None = DECLINING) -> DataFrame:
+    """(rm_id, why) of the replies that decline, why being template, holds (a template's words behind others) or cue; ``replies`` has
+    rm_id, text and reply.  Without ``cues`` recurrence alone finds them, without ``declining`` their form alone."""
+    rows = work.save(openings(replies), "openings")
+    templates, members = refusal_templates(rows, work, wordings=wordings, declining=declining)
+    known = members.join(templates.select("leader", "refusal"), "leader")
+    declined = known.filter("refusal").select("opening", "leader", "words", "n")
+    # an opening that holds the shingles of a template's leader, 8 in 10 or more: one opening a component keeps the join small
+    heads = declined.filter("opening = leader").select("leader", shingles(F.col("words")).alias("sh")).filter(F.size("sh") > 1)
+    heads = heads.select("leader", F.size("sh").alias("size"), F.explode("sh").alias("cell"))
+    others = rows.select("opening", "words").groupBy("opening").agg(F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n")).join(known.select("opening"), "opening", "left_anti")
+    cells = others.select("opening", "n", F.explode(shingles(F.col("words"))).alias("cell"))
+    held = cells.join(heads, "cell").groupBy("opening", "leader").agg(F.count(F.lit(1)).alias("both"), F.any_value("size").alias("size"), F.any_value("n").alias("n")).filter(F.col("both") >= SIMILARITY * F.col("size"))
+    judged = declined.select("opening", "n", F.lit("template").alias("why")).unionByName(held.groupBy("opening").agg(F.any_value("n").alias("n")).select("opening", "n", F.lit("holds").alias("why")))
+    found = join_hot(rows.select("rm_id", "opening"), judged.withColumnRenamed("n", "rows"), ["opening"], "rows", F.xxhash64("rm_id")).select("rm_id", "why")
+    if not cues:
+        return found
+    alone = replies.filter(folded(opening_text(F.col("reply"))).rlike(cues)).select("rm_id")
+    alone = rows.select("rm_id", "opening").join(alone, "rm_id", "left_semi").join(known.select("opening"), "opening", "left_anti").select("rm_id", F.lit("cue").alias("why"))
+    return found.unionByName(alone).groupBy("rm_id").agg(F.max("why").alias("why"))
 
 
 def requested(prompt: str) -> set[str]:
@@ -199,7 +257,7 @@ def defects(spark: SparkSession, raw: DataFrame, cached: DataFrame) -> DataFrame
     saying = rows.filter(~empty)
     cut = truncation.truncated(spark, raw, cached).filter("origin = 'raw_messages'").select(F.col("row_id").alias("rm_id"))
     found = (
-        plain.unionByName(refusals(saying, work).withColumn("rank", F.lit(3)))
+        plain.unionByName(refusals(saying, work).select("rm_id", F.lit(3).alias("rank")))
         .unionByName(cut.withColumn("rank", F.lit(4)))
         .unionByName(foreign_replies(spark, saying).withColumn("rank", F.lit(5)))
     )
