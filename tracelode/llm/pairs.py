@@ -217,15 +217,14 @@ def requested(prompt: str) -> set[str]:
     return {k for k, p in _NAMES.items() if p.search(f)}
 
 
-def main_language(model: language.Model, text: str | None, min_words: int = 4) -> int | None:
-    """The language in which most of a text's words are written; None if it can't be told."""
-    weight = np.zeros(len(language.LANGS))
-    for words in language.sentences(text):
-        if len(words) >= min_words:
-            k = model.best(words, 3.0)
-            if k is not None:
-                weight[k] += len(words)
-    return int(weight.argmax()) if weight.any() else None
+def main_languages(model: language.Model, texts: list[str | None], min_words: int = 4) -> list[int | None]:
+    """The language in which most of each text's words are written; None if it can't be told."""
+    parts = [(i, words) for i, text in enumerate(texts) for words in language.sentences(text) if len(words) >= min_words]
+    weight = np.zeros((len(texts), len(language.LANGS)))
+    for (i, words), k in zip(parts, model.best([words for _, words in parts], 3.0)):
+        if k is not None:
+            weight[i, k] += len(words)
+    return [int(w.argmax()) if w.any() else None for w in weight]
 
 
 def foreign_replies(spark: SparkSession, rows: DataFrame, *, sample_rows: int = language.SAMPLE_ROWS) -> DataFrame:
@@ -236,12 +235,8 @@ def foreign_replies(spark: SparkSession, rows: DataFrame, *, sample_rows: int =
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for i, text, reply in zip(pdf["rm_id"], pdf["text"], pdf["reply"]):
-                a = main_language(sent.value, text)
-                b = main_language(sent.value, reply) if a is not None else None
-                if b is not None and a != b and language.LANGS[b] not in requested(text):
-                    out.append(i)
+            asked, said = main_languages(sent.value, list(pdf["text"])), main_languages(sent.value, list(pdf["reply"]))
+            out = [i for i, text, a, b in zip(pdf["rm_id"], pdf["text"], asked, said) if a is not None and b is not None and a != b and language.LANGS[b] not in requested(text)]
             yield pd.DataFrame({"rm_id": pd.Series(out, dtype="int64")})
 
     return rows.filter("reply is not null and text is not null").select("rm_id", "text", "reply").mapInPandas(compare, "rm_id bigint")
