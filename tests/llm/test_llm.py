@@ -69,9 +69,20 @@ def test_conversations(spark):
 
 
 def test_event_log(spark):
-    log = spark.createDataFrame([(1, "s", 0, 1, "create", "a"), (2, "s", 0, 2, "edit", "b"), (3, "s", 0, 2, "edit", "late retry"), (4, "s", 1, 1, "create", "c"), (5, "s", 1, 3, "DELETE", None), (6, "s", 2, 1, None, "d")], "id int, session string, turn int, v int, act string, text string")
-    got = conversations.fold_log(log, ["session", "turn"], "v", "act").collect()
-    assert sorted((r.turn, r.text) for r in got) == [(0, "b"), (2, "d")]
+    log = spark.createDataFrame([(1, "s", 0, 1, "create", "a"), (2, "s", 0, 2, "edit", "b"), (3, "s", 0, 2, "edit", "late retry"), (4, "s", 1, 1, "create", "c"), (5, "s", 1, 3, "DELETE ", None), (6, "s", 2, None, None, "d")], "id int, session string, turn int, v int, act string, text string")
+    got = conversations.fold_log(log, ["session", "turn"], F.col("v"), F.col("act"), F.col("id")).collect()
+    assert sorted((r.turn, r.text, r.id) for r in got) == [(0, "b", 2), (2, "d", 6)]
+
+
+def test_conversations_of_a_versioned_log(spark):
+    log = [
+        (1, "a", 0, "user", "hi", 1, "create", "m1"), (2, "a", 0, "agent", "...", 1, "create", "m2"), (3, "a", 0, "agent", "hello", 2, "edit", "m2"), (4, "a", 0, "agent", "hello", 2, "edit", "m2"), (5, "a", 1, "user", "never mind", 1, "create", "m3"), (6, "a", 1, "user", None, 2, "delete", "m3"),
+        (7, "b", 0, "user", "hi", 1, "create", "m1"), (8, "b", 0, "agent", "hello", 1, "create", "m2"), (9, "b", 0, "agent", None, 2, "delete", "m2"),  # the reply is withdrawn
+        (10, "c", 0, "user", "hi", 1, "create", "m1"), (11, "c", 0, "user", "or so", 1, "create", "m4"), (12, "c", 0, "agent", "yes", 1, "create", "m2"), (13, "c", 0, "user", None, 5, "delete", "m4"), (14, "c", 0, "user", "late", 3, "edit", "m4")]
+    rows = spark.createDataFrame(log, CHAT + ", v int, act string, msg string")
+    got = sorted((r.session, r.pos, r.id) for r in conversations.conversations(rows, version="v", action="act", message="msg").collect())
+    assert got == [("a", 0, 1), ("a", 1, 3), ("c", 0, 10), ("c", 1, 12)]
+    assert conversations.conversations(rows.filter("session <> 'c'"), version="v", action="act").count() == 2  # by slot alone
 
 
 # ---------------------------------------------------------------- tokens
@@ -98,6 +109,8 @@ def test_token_table(spark, enc):
     got = {r.doc_id: list(r.ids) for r in tokenization.token_ids(spark, docs, max_chars=64).collect()}
     assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
     assert enc.decode(got[2]) == texts[2]
+    twice = spark.createDataFrame([(7, t) for t in (texts[3], texts[4], texts[4], None)], "doc_id bigint, text string")
+    assert sorted(list(r.ids) for r in tokenization.token_ids(spark, twice, max_chars=100).collect()) == sorted(enc.encode_ordinary(t or "") for t in (texts[3], texts[4], texts[4], None))
     assert tokenization.token_ids(spark, docs.filter("false")).count() == 0
 
 

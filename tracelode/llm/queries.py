@@ -74,6 +74,11 @@ def p8_ids(spark, sf_dir):
     return _tokens.token_ids(spark, _read(spark, sf_dir, "documents"))
 
 
+def p8_tree(spark, sf_dir):
+    """The ids of every document by way of the tree: pieces of 256 characters, joined level by level; the same as those of ``p8_ids``."""
+    return _tokens.token_ids(spark, _read(spark, sf_dir, "documents"), max_chars=256)
+
+
 def p9_found(spark, sf_dir):
     return _leakage.leaks(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
@@ -90,7 +95,7 @@ def p10_segments(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found, "p1_search": p1_search,
     "p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found,
-    "p7_found": p7_found, "p7_rates": p7_rates, "p7_limits": p7_limits, "p8_ids": p8_ids, "p9_found": p9_found,
+    "p7_found": p7_found, "p7_rates": p7_rates, "p7_limits": p7_limits, "p8_ids": p8_ids, "p8_tree": p8_tree, "p9_found": p9_found,
     "p10_found": p10_found, "p10_segments": p10_segments,
 }
 

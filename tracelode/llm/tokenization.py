@@ -10,7 +10,7 @@ window, until both ends of the window agree exactly with what the two sides have
   of theirs, and every pair of neighbours in the result stands in one of the three encodings.
 
 Defined results: a null or empty text gives an empty list; strings that look like special tokens are ordinary text;
-repeated ids are encoded row by row (long texts need distinct ids); extra columns are ignored.
+repeated ids give one row each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.plans.workspace import Workspace
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,17 +113,24 @@ def _agreeing_window(enc, li: list[int], ri: list[int], width: int) -> list[int]
 def encode_pieces(enc, pieces: list[str]) -> list[int]:
     """Encoding of the joined pieces, from encodings of each, by a tree of concatenations."""
     level = [(p, enc.encode_ordinary(p)) for p in pieces]
-    return tree(enc, level)
-
-
-def tree(enc, level: list[tuple[str, list[int]]]) -> list[int]:
     while len(level) > 1:
         level = [concatenate(enc, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0][1] if level else []
 
 
+def _cut(rows: DataFrame, max_chars: int) -> DataFrame:
+    """(doc, doc_id, at, text): the pieces of long texts; ``doc`` names a row, so that rows with one doc_id stay apart."""
+    cuts = F.sequence(F.lit(0), F.ceil(F.length("text") / max_chars) - 1)
+    return rows.select("doc", "doc_id", "text", F.explode(cuts).alias("at")).select(
+        "doc", "doc_id", F.col("at").cast("int").alias("at"), F.expr(f"substring(text, cast(at * {max_chars} + 1 as int), {max_chars})").alias("text"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(doc_id, ids array<int>).  The vocabulary (a file of fixed size, under 1 MB) is sent to the executors once."""
+    """(doc_id, ids array<int>), one row a document.  The vocabulary (a file of fixed size, under 1 MB) is sent to the executors once.
+
+    Pieces of long texts are encoded by as many tasks as there are pieces.  Each level of the tree then joins neighbours in one task
+    a pair; the number of levels follows from the longest text.
+    """
     with open(vocab, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
     key = docs.schema[id_col].dataType.simpleString()
@@ -137,18 +146,30 @@ def token_ids(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
 
     short = rows.filter(F.length("text") <= max_chars).mapInArrow(encode, f"doc_id {key}, ids array<int>")
-    cuts = F.sequence(F.lit(0), F.ceil(F.length("text") / max_chars) - 1)
-    long = rows.filter(F.length("text") > max_chars).select("doc_id", "text", F.explode(cuts).alias("at")).select(
-        "doc_id", F.col("at").cast("int").alias("at"), F.expr(f"substring(text, cast(at * {max_chars} + 1 as int), {max_chars})").alias("text"))
-    # pieces of one text meet in one task only as far as the text's own result row does
-    encoded = long.repartition("doc_id", "at").mapInArrow(encode, f"doc_id {key}, at int, text string, ids array<int>")
-
-    def merge(pdf):
-        import pandas as pd
+    long = rows.filter(F.length("text") > max_chars)
+    longest = long.agg(F.max(F.length("text"))).first()[0]  # one pass over the lengths decides how many levels there are
+    if longest is None:
+        return short
+    work = Workspace(spark, "tokens")
+    piece = f"doc string, doc_id {key}, at int, text string, ids array<int>"
+    level = _cut(long.withColumn("doc", F.uuid()), max_chars)
+    level = work.save(work.save(level, "pieces").repartition("doc", "at").mapInArrow(encode, piece), "level-0")
+
+    def join(batches):
+        import pyarrow as pa
 
         enc = encoder(vocab, content.value)
-        pdf = pdf.sort_values("at")
-        ids = tree(enc, [(t, list(map(int, i))) for t, i in zip(pdf["text"], pdf["ids"])])
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "ids": [ids]})
-
-    return short.unionByName(encoded.groupBy("doc_id").applyInPandas(merge, f"doc_id {key}, ids array<int>"))
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                a, *b = sorted(parts, key=lambda p: p["at"])
+                out.append(concatenate(enc, (a["text"], a["ids"]), (b[0]["text"], b[0]["ids"])) if b else (a["text"], a["ids"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("doc_id"), batch.column("at"), pa.array([t for t, _ in out], pa.string()), pa.array([i for _, i in out], pa.list_(pa.int32()))], ["doc", "doc_id", "at", "text", "ids"])
+
+    for number in range((-(-longest // max_chars) - 1).bit_length()):
+        pairs = level.groupBy("doc", "doc_id", F.shiftright("at", 1).alias("at")).agg(F.array_agg(F.struct("at", "text", "ids")).alias("parts"))  # two pieces
+        following = work.save(pairs.mapInArrow(join, piece), f"level-{number + 1}")
+        work.drop(level)
+        level = following
+    return short.unionByName(level.select("doc_id", "ids"))
