@@ -193,6 +193,8 @@ def test_hierarchy_edges(spark):
     assert len(got) == 70 and got["069"] == ("000", 69, 1) and got["000"] == ("000", 0, 70)
     sets = hierarchy.nested_sets(spark, chain)
     assert hierarchy.descendants(sets, spark.createDataFrame([("060",)], "node string")).count() == 9
+    above = hierarchy.ancestors(sets, spark.createDataFrame([("003",)], "node string")).collect()
+    assert sorted((r.ancestor, r.distance) for r in above) == [("000", 3), ("001", 2), ("002", 1)]
     gone = hierarchy.nested_sets(spark, spark.createDataFrame([("a", "gone"), ("b", "a")], "node string, parent string"), keep_missing_parent=False)
     assert {(r.node, r.root, r.depth, tuple(r.path)) for r in gone.collect()} == {("a", "a", 0, ("a",)), ("b", "a", 1, ("a", "b"))}
 
@@ -223,11 +225,36 @@ def test_incremental_survives_a_crash(spark):
     target = incremental.VersionedTarget(spark, Workspace(spark, "crash").path, "k string, h bigint, w bigint")
     rows = lambda *r: spark.createDataFrame(list(r), "k string, h bigint, w bigint")
     assert incremental.process_run(target, 1, rows(("a", 1, 1)), ["k"], "h", ["w"])
-    rows(("zzz", 9, 9)).write.parquet(f"{target.path}/v2/state")  # a run that died before it published
+    target.write(2, rows(("zzz", 9, 9)).withColumn("changed", F.lit(True)))  # a run that died before it published
     assert target.version() == 1
     assert incremental.process_run(target, 2, rows(("a", 1, 5), ("b", 2, 2)), ["k"], "h", ["w"])
     assert not incremental.process_run(target, 2, rows(("c", 3, 3)), ["k"], "h", ["w"])
-    assert sorted((r.run_no, r.k) for r in target.outputs("k string").collect()) == [(1, "a"), (2, "b")]
+    assert sorted((r.run_no, r.k) for r in target.outputs(["k"], "k string").collect()) == [(1, "a"), (2, "b")]
+    # two drivers at the same run: one publishes
+    one, two = (target.write(3, rows((k, 1, 1)).withColumn("changed", F.lit(True))) for k in "xy")
+    assert target.publish(3, one) and not target.publish(3, two)
+    assert [r.k for r in target.state().collect()] == ["x"]
+    assert target.sweep() == 1 and target.version() == 3 and target.state().count() == 1
+
+
+def test_changed_files_go_on_after_a_crash(spark, monkeypatch):
+    f = files(spark, [(run, "a", f"p{i}", run if i < run else 0, 1, 0, "t", None, None) for run in range(1, 5) for i in range(4)])
+    runs = spark.createDataFrame([(r, "ok") for r in range(1, 5)], "run_no int, status string")
+    whole = sorted((r.run_no, r.path) for r in incremental.changed_files(spark, f, runs, Workspace(spark, "w").path).collect())
+    path, write, done = Workspace(spark, "c").path, incremental.VersionedTarget.write, []
+
+    def dies_in_third(self, run, rows):
+        folder = write(self, run, rows)
+        done.append(run)
+        if run == 3 and done.count(3) == 1:
+            raise RuntimeError("lost between files and marker")
+        return folder
+
+    monkeypatch.setattr(incremental.VersionedTarget, "write", dies_in_third)
+    with pytest.raises(RuntimeError):
+        incremental.changed_files(spark, f, runs, path)
+    assert sorted((r.run_no, r.path) for r in incremental.changed_files(spark, f, runs, path).collect()) == whole
+    assert done == [1, 2, 3, 3, 4]  # nothing was skipped, and only the lost run was repeated
 
 
 # ---------------------------------------------------------------- corpus, context, accounting, skew

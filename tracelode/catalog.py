@@ -28,12 +28,14 @@ def p5_paths(spark, sf_dir):
 
 
 def p5_descendants(spark, sf_dir):
-    """Every session with each of its descendants and their distance; none in cycles."""
-    return hierarchy.ancestors(_family_sets(spark, sf_dir)).select("ancestor", F.col("node").alias("session"), "distance")
+    """Every session with each of its descendants and their distance, by their nested-set ranges; none in cycles."""
+    sets = Workspace(spark, "family").save(_family_sets(spark, sf_dir), "sets")
+    return hierarchy.descendants(sets, sets.select("node")).select("ancestor", F.col("node").alias("session"), "distance")
 
 
 def p6_found(spark, sf_dir):
-    work = Workspace(spark, "incremental")
+    """All runs from the first on: the target is a new one, so that the query always does the whole work."""
+    work = Workspace(spark, "target")
     return incremental.changed_files(spark, _read(spark, sf_dir, "source_files"), _read(spark, sf_dir, "ingest_runs"), work.path)
 
 

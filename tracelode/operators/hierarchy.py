@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelode.plans.skew import join_hot
 from tracelode.plans.workspace import Workspace
 
 CHUNKS = 512
+HOT = 200_000  # rows that may share an ancestor in one task
 
 
 def _links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +52,13 @@ def _sibling_offsets(sized: DataFrame) -> DataFrame:
     )
 
 
+def _meet(rows: DataFrame, far: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """``rows`` joined with what is known of their ``anc``, of which the most common has ``most`` rows: salted if those are many."""
+    if most <= HOT:
+        return rows.join(far, "anc")
+    return join_hot(rows, far.join(counts, "anc"), ["anc"], "n", F.xxhash64("node"), rows_per_salt=HOT).drop("n")
+
+
 def nested_sets(spark: SparkSession, nodes: DataFrame, *, keep_missing_parent: bool = True, max_rounds: int = 40) -> DataFrame:
     """Nodes (node, parent) to (node, root, depth, lft, size, path, cyclic), one row per listed node.
 
@@ -65,19 +74,20 @@ def nested_sets(spark: SparkSession, nodes: DataFrame, *, keep_missing_parent: b
     state = links.select("node", "up", "listed", F.col("up").alias("anc"), F.coalesce("up", "node").alias("top"),
                          F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size"), F.col("node").alias("low"))
     state = work.save(state, "up-0")
-    before = None
+    before, hottest = None, []
     for k in range(max_rounds):
         active = state.filter(F.col("anc").isNotNull())
-        left = active.count()
+        left, most = active.groupBy("anc").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         # a tree with open nodes always finishes some in a round, so a round that finishes none leaves cycles only; their
         # smallest name is known once 2^k steps go around the longest
         if left == 0 or left == before and 2**k >= left:
             break
         before = left
-        gained = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("more"))
+        hottest.append(most)
+        gained = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("n"))
         far = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("low").alias("low2"))
-        jumped = active.select("node", "anc").join(far, "anc").drop("anc")
-        step = state.join(gained, "node", "left").join(jumped, "node", "left").select(
+        jumped = _meet(active.select("node", "anc"), far, gained.select(F.col("node").alias("anc"), "n"), most).drop("anc")
+        step = state.join(gained.drop("n"), "node", "left").join(jumped, "node", "left").select(
             "node", "up", "listed", F.col("anc2").alias("anc"), F.coalesce("top2", "top").alias("top"),
             (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
             F.least("low", F.coalesce("low2", "low")).alias("low"),
@@ -100,11 +110,12 @@ def nested_sets(spark: SparkSession, nodes: DataFrame, *, keep_missing_parent: b
     down = work.save(down, "down-0")
     deepest = down.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     for k in range(int(deepest).bit_length()):
+        open_, done = down.filter(F.col("anc").isNotNull()), down.filter(F.col("anc").isNull())
         far = down.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("lft").alias("lft2"), F.col("path").alias("path2"))
-        step = down.join(far, "anc", "left").select(
-            "node", "listed", "top", "depth", "size", F.col("anc2").alias("anc"), (F.col("lft") + F.coalesce("lft2", F.lit(0))).alias("lft"),
-            F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"),
-        )
+        counts = open_.groupBy("anc").agg(F.count(F.lit(1)).alias("n"))
+        step = _meet(open_, far, counts, hottest[k]).select(
+            "node", "listed", "top", "depth", "size", F.col("anc2").alias("anc"), (F.col("lft") + F.col("lft2")).alias("lft"), F.concat("path2", "path").alias("path"),
+        ).unionByName(done)
         following = work.save(step, f"down-{k + 1}")
         work.drop(down)
         down = following
@@ -137,10 +148,11 @@ def descendants(sets: DataFrame, of: DataFrame) -> DataFrame:
     return heads.join(nodes, ["root", "level", "block"]).select("ancestor", "node", (F.col("depth") - F.col("d")).alias("distance"))
 
 
-def ancestors(sets: DataFrame) -> DataFrame:
-    """(node, ancestor, distance), every node with each node above it."""
-    return sets.filter(~F.col("cyclic")).select("node", F.posexplode("path").alias("at", "ancestor"), "depth").filter(F.col("ancestor") != F.col("node")).select(
-        "node", "ancestor", (F.col("depth") - F.col("at")).alias("distance"))
+def ancestors(sets: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, distance) for the nodes in ``of`` (all by default): the nodes whose range holds theirs."""
+    pairs = descendants(sets, sets.select("node"))
+    found = pairs if of is None else pairs.join(of.select("node").distinct(), "node", "left_semi")
+    return found.select("node", "ancestor", "distance")
 
 
 def first_claims(rows: DataFrame, child: str, claim: str, order: list[str]) -> DataFrame:

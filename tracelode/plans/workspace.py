@@ -55,6 +55,41 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     return False if fs.exists(jtarget) else bool(fs.rename(jsource, jtarget))
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's content."""
+    fs, jpath = _fs(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear whole or not at all; False if it is there already or another writer was faster.
+
+    The file is written under a name of its own and renamed, so the file system must rename atomically and never over a file that
+    exists, as HDFS and local disks do; on object stores give a folder of a committer that does.
+    """
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, jown = _fs(spark, own)
+    stream = fs.create(jown, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if rename(spark, own, path):
+        return True
+    delete(spark, own)
+    return False
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, jpath = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
 class Workspace:
     """A private folder below the shared one, for the intermediate tables of one operator call."""
 
