@@ -46,13 +46,36 @@ def test_duplicates_against_brute_force(spark):
 
 def test_ledger_in_batches_equals_one_batch(spark):
     keys = spark.range(400).select("id", F.unhex(F.md5((F.col("id") % 37).cast("string"))).alias("key"), (F.col("id") % 4).cast("int").alias("batch"))
-    work = Workspace(spark, "l")
-    many = {bytes(r.key): (r.keep_id, r.copies) for r in dedup_ledger.build_ledger(spark, keys, 4, work).collect()}
-    single = {bytes(r.key): (r.keep_id, r.copies) for r in dedup_ledger.build_ledger(spark, keys.withColumn("batch", F.lit(0)), 1, work).collect()}
-    assert many == single and len(many) == 37
+    rows = lambda led: {bytes(r.key): (r.keep_id, r.copies) for r in led.table().collect()}
+    many, single = (dedup_ledger.Ledger(spark, Workspace(spark, "l").path, 5) for _ in range(2))
+    for b in range(4):
+        assert dedup_ledger.Ledger(spark, many.path).feed(f"b{b}", keys.filter(F.col("batch") == b).select("id", "key"))  # each by a new caller
+    single.feed("all", keys.select("id", "key"))
+    assert rows(many) == rows(single) and len(rows(many)) == 37
+    assert not many.feed("b2", keys.select("id", "key")) and rows(many) == rows(single)  # fed before
     assert dedup_ledger.duplicate_members(keys.filter("false"), dedup_ledger.empty_ledger(spark)).count() == 0
 
 
+def test_ledger_writes_touched_buckets_only(spark, monkeypatch):
+    led = dedup_ledger.Ledger(spark, Workspace(spark, "l").path, 8)
+    keys = spark.range(60).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("key"))
+    led.feed("first", keys)
+    before = led._manifest()["folders"]
+    one = keys.filter("id = 7").select(F.lit(3).cast("bigint").alias("id"), "key")
+    led.feed("second", one)
+    assert sum(before[b] != f for b, f in led._manifest()["folders"].items()) == 1
+    led.sweep()
+    assert {(r.keep_id, r.copies) for r in led.table().filter("copies > 1").collect()} == {(3, 2)} and led.table().count() == 60
+    # a batch that dies before its manifest leaves the ledger as it was
+    monkeypatch.setattr(dedup_ledger.ws, "publish_text", lambda *a: False)
+    with pytest.raises(RuntimeError):
+        led.feed("third", one)
+    assert led.table().filter("copies > 1").first().copies == 2
+    monkeypatch.undo()
+    assert led.feed("third", one) and led.table().filter("copies > 1").first().copies == 3
+    assert led.feed("none", keys.filter("false")) and led.table().count() == 60
+
+
 # ---------------------------------------------------------------- conversations
 
 CHAT = "id bigint, session string, turn int, who string, text string"

@@ -1,5 +1,10 @@
 """Duplicates hidden by formatting differences: an incremental ledger of canonical keys.
 
+The ledger is a table at a path of its own, cut into buckets by a hash of the key, and outlives the calls that feed it.  A batch is
+aggregated by key, full-outer-joined with the buckets it touches, and only those buckets are written anew; the others stay where
+they are.  One small manifest, which appears by a rename, names each bucket's folder and the batches that are in: a batch that is fed
+again, after a failure or not, changes nothing.
+
 Defined results: null texts and texts with fewer than ``min_chars`` letters and digits have no key and are
 left out; repeated ids with the same text count as one member; ties on the representative go to the lowest id;
 an empty table yields an empty ledger; extra columns of the input are ignored.
@@ -7,9 +12,14 @@ an empty table yields an empty ledger; extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.plans import workspace as ws
 from tracelode.plans.skew import join_hot
 from tracelode.plans.workspace import Workspace
 
@@ -46,6 +56,7 @@ def keyed(msgs: DataFrame, *, id_col: str = "id", text_col: str = "text", who_co
 
 
 LEDGER = "key binary, keep_id bigint, copies bigint"
+BUCKETS = 16
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -55,8 +66,7 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def merge_batch(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """The ledger after a batch of (id, key): the batch is pre-aggregated, then full-outer-joined by key.
 
-    Both sides are hashed by key into the same buckets; a key that holds a third of the batch arrives as one row
-    per map task, because the aggregate combines before it shuffles.
+    A key that holds a third of the batch arrives as one row per map task, because the aggregate combines before it shuffles.
     """
     new = batch.groupBy("key").agg(F.min("id").alias("new_id"), F.count(F.lit(1)).alias("new_copies"))
     return ledger.join(new, "key", "full_outer").select(
@@ -66,14 +76,53 @@ def merge_batch(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def build_ledger(spark: SparkSession, keys: DataFrame, batches: int, work: Workspace) -> DataFrame:
-    """Feed the (id, key, batch) rows into an empty ledger batch by batch, one durable version after another."""
-    ledger, previous = empty_ledger(spark), None
-    for number in range(batches):
-        ledger = work.save(merge_batch(ledger, keys.filter(F.col("batch") == number).select("id", "key")), f"ledger-{number}")
-        work.drop(previous)
-        previous = ledger
-    return ledger
+class Ledger:
+    """The bucketed table at ``path``.  The number of buckets is fixed when the first batch is fed."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path
+        self.buckets = self._manifest()["count"] if self._versions() else buckets
+
+    def _versions(self) -> list[int]:
+        return sorted(int(m[1]) for n in ws.listed(self.spark, self.path) if (m := re.fullmatch(r"manifest-(\d+)", n)))
+
+    def _manifest(self) -> dict:
+        at = self._versions()
+        return json.loads(ws.read_text(self.spark, f"{self.path}/manifest-{at[-1]}")) if at else {"version": 0, "count": self.buckets, "batches": [], "folders": {}}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
+
+    def table(self, only: list[int] | None = None) -> DataFrame:
+        """The ledger, or some of its buckets."""
+        folders = self._manifest()["folders"]
+        paths = [f"{self.path}/{folder}/bucket={b}" for b, folder in folders.items() if only is None or int(b) in only]
+        return self.spark.read.schema(LEDGER).parquet(*paths) if paths else empty_ledger(self.spark)
+
+    def feed(self, name: str, batch: DataFrame) -> bool:
+        """Count a batch of (id, key); False if a batch of that name is in already."""
+        now = self._manifest()
+        if name in now["batches"]:
+            return False
+        touched = [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        folder = f"part-{uuid.uuid4().hex}"
+        if touched:
+            merged = merge_batch(self.table(touched), batch).withColumn("bucket", self.bucket())
+            # adaptive execution splits large buckets and joins small ones' pieces, so that files have a good size
+            merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        after = {"version": now["version"] + 1, "count": self.buckets, "batches": [*now["batches"], name], "folders": {**now["folders"], **{str(b): folder for b in touched}}}
+        if not ws.publish_text(self.spark, f"{self.path}/manifest-{after['version']}", json.dumps(after)):
+            ws.delete(self.spark, f"{self.path}/{folder}")
+            raise RuntimeError("another batch was fed at the same time; feed this one again")
+        return True
+
+    def sweep(self) -> None:
+        """Delete the folders that the last manifest doesn't name any bucket of, and older manifests.  Not while a batch is fed."""
+        now = self._manifest()
+        keep = {f"manifest-{now['version']}", *now["folders"].values()}
+        for name in ws.listed(self.spark, self.path):
+            if name not in keep:
+                ws.delete(self.spark, f"{self.path}/{name}")
 
 
 def duplicate_members(keys: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -83,12 +132,16 @@ def duplicate_members(keys: DataFrame, ledger: DataFrame) -> DataFrame:
     return joined.filter(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"), "copies").distinct()
 
 
-def format_duplicates(spark: SparkSession, msgs: DataFrame, *, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(ledger, members) of a message table, which is fed to the ledger in ``batches`` slices, alternating blocks of ids.
+def format_duplicates(spark: SparkSession, msgs: DataFrame, *, batches: int = 2, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ledger, members) of a message table, which is fed to the ledger at ``path`` in ``batches`` slices, alternating blocks of ids.
 
-    The result doesn't depend on how the rows are sliced.
+    The result doesn't depend on how the rows are sliced.  Without a path the ledger is a new one; with one, slices that are in
+    already aren't counted again, so that the call can be repeated after a failure.
     """
     work = Workspace(spark, "ledger")
     keys = work.save(keyed(msgs).withColumn("batch", F.pmod(F.floor(F.col("id") / 4096), F.lit(batches)).cast("int")), "keys")
-    ledger = build_ledger(spark, keys, batches, work)
-    return ledger, duplicate_members(keys, ledger)
+    ledger = Ledger(spark, path or f"{work.path}/ledger")
+    for number in range(batches):
+        ledger.feed(f"{number} of {batches}", keys.filter(F.col("batch") == number).select("id", "key"))
+        ledger.sweep()
+    return ledger.table(), duplicate_members(keys, ledger.table())
