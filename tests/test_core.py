@@ -35,13 +35,20 @@ def test_digest_vectors(spark):
 
 def test_text_functions(spark):
     assert fx.tokens(" open_snapshot-now x ") == ["open", "snapshot", "now", "x"]
-    assert fx.is_question("what degree did I do?") and not fx.is_question("open_snapshot") and not fx.is_question("rank key")
+    sentence = lambda q: fx.Reading(q).sentence
+    assert sentence("what degree did I do?") and not sentence("open_snapshot") and not sentence("rank key") and not sentence("") and not sentence("is it so")
+    assert fx.Reading("Where is the (snapshot)?").content == ["snapshot"]
     names = {"/home/me/work/atlas": "atlas", "C:\\Users\\ann": "~", "/home/ann": "~", "/w/q/src": "q/src", "": "unknown", None: "unknown"}
     for cwd, want in names.items():
         assert one(spark, fx.project_name, cwd) == want
     for value, want in {"2024-01-01T00:00:00Z": 1704067200000, "2024-01-01T01:00:00.5+01:00": 1704067200500, "1704067200": 1704067200000, "1704067200000": 1704067200000, "junk": 0, None: 0}.items():
         assert one(spark, fx.parse_timestamp, value) == want
     assert one(spark, fx.redacted, "Authorization: Bearer abc123def456 --token=xyz https://u:p@h/ password: hunter2") == "Authorization: Bearer [redacted] --token=[redacted] https://[redacted]@h/ password: [redacted]"
+    masked = {
+        '{"client_secret": "a b", "token": null}': '{"client_secret": [redacted], "token": null}', "--api-key 'x y' --verbose": "--api-key [redacted] --verbose", "Cookie: sid=abc; theme=dark": "Cookie: sid=[redacted]; theme=dark",
+        "signing_key=abc&x=1": "signing_key=[redacted]&x=1", "use ghp_abcdefghijklmnop1234 now": "use [redacted] now", "MY_APP_PASSWORD=hunter2": "MY_APP_PASSWORD=[redacted]", "the token is gone": "the token is gone", "password: str": "password: str", None: None}
+    for value, want in masked.items():
+        assert one(spark, fx.redacted, value) == want
     assert one(spark, fx.summarized_input, '{"path": "a/b", "command": ["ls", "-l"], "z": 1}') == "ls -l · a/b"
     assert [one(spark, fx.age_label, schema.NOW_MS - s * 1000, "bigint") for s in (5, 120, 7200, 86400 * 3)] == ["now", "2m", "2h", "3d"]
     assert fx.parse_when("7d") == schema.NOW_MS - 7 * schema.DAY_MS and fx.parse_when("2024-01-01") == 1704067200000
@@ -52,7 +59,7 @@ def test_text_functions(spark):
 
 def test_blobs_and_escapes(spark):
     assert one(spark, lambda v: fx.in_blob(v, "key"), "x" * 50 + "key") is True and one(spark, lambda v: fx.in_blob(v, "key"), "the key is here") is False
-    assert one(spark, fx.terminal_safe, "a\x07b\tc") == "a\ufffdb\tc"
+    assert one(spark, fx.terminal_safe, "a\x07b\tc\u202ed\u2028\x1b[1m\n") == "a\ufffdb\tc\ufffdd\ufffd\\x1b[1m\n"
     got = spark.createDataFrame([("@ab:3.d2e7",), ("@ab:3",), ("junk",), (None,)], "v string").select(fx.parse_handle(F.col("v")).alias("h")).select("h.*").collect()
     assert [tuple(r) for r in got] == [("ab", 3, "d2e7"), ("ab", 3, None), (None, None, None), (None, None, None)]
 
@@ -68,15 +75,23 @@ def test_snippets(spark):
 
 
 def test_boundaries(spark):
-    cases = {("open_snapshot", "snapshot"): 1.0, ("snapshots", "snapshot"): 0.5, ("unlocked", "lock"): 0.0, ("HTTPServer", "Server"): 1.0, ("rank2", "rank"): 1.0, ("don't", "t"): 0.5, ("varΔ", "var"): 1.0}
+    cases = {
+        ("open_snapshot", "snapshot"): 1.0, ("snapshots", "snapshot"): 0.5, ("unlocked", "lock"): 0.0, ("HTTPServer", "Server"): 1.0, ("rank2", "rank"): 1.0, ("don't", "t"): 0.5, ("varΔ", "var"): 1.0, ("getHTTPServer", "http"): 1.0,
+        ("XMLparse", "parse"): 0.5, ("größe", "gr"): 0.5, ("e\u0301tat", "e"): 0.5, ("unlocked lock", "lock"): 1.0, ("漢字かな", "漢字"): 1.0, ("l’ami", "ami"): 0.5, ("'lock'", "lock"): 1.0, ("LOCK", "lock"): 1.0}
     for (text, term), want in cases.items():
-        at = text.lower().index(term.lower())
-        assert boundary.quality(text, at, at + len(term)) == want, (text, term)
-    for text, term in (("open_snapshot", "snapshot"), ("snapshots", "snapshot"), ("unlocked", "lock"), ("HTTPServer", "Server"), ("rank2", "rank")):
-        at = text.lower().index(term.lower())
-        assert one(spark, lambda v, t=term: boundary.ascii_quality(v, t), text) == boundary.quality(text, at, at + len(term))
-    assert boundary.factor([], []) == 1.0 and boundary.factor(["lock"], [1.0]) == 1.0 and boundary.factor(["lock"], [0.0]) == pytest.approx(0.6)
-    assert boundary.ambiguity("lock", {"lock": (68, 0)}) > boundary.prior("lock")
+        assert one(spark, lambda v, t=term: boundary.quality(v, t), text) == want, (text, term)
+    assert one(spark, lambda v: boundary.quality(v, "lock"), "nothing") is None and one(spark, lambda v: boundary.quality(v, "lock"), None) is None
+    assert boundary.ambiguity("lock", {"lock": (68, 0)}) > boundary.prior("lock") and boundary.prior("漢字") == 0 and [boundary.prior(t) for t in ("a", "abc", "abcde", "12", "")] == [0.9, 0.75, 0.05, 0.6, 0.0]
+
+    def grade(text, lane, query):
+        r = spark.createDataFrame([(text, lane)], "v string, lane string").select(boundary.graded(F.col("v"), F.col("lane"), query).alias("g")).first().g
+        return round(r["factor"], 4), r["class"]
+
+    assert grade("the lock is held", None, "lock") == (1.0, "aligned") and grade("unlocked", None, "lock") == (0.6, "interior") and grade("locked", None, "lock") == (0.8, "partial")
+    assert grade("reopenSnapshots, open_snapshot", None, "open snapshot") == (1.0, "aligned")
+    assert grade("reopen", "all-terms", "open lock") == (round((0.8 * 0.6) ** 0.5, 4), "partial")
+    assert grade("…lock", None, "lock") == (0.8, "partial")  # what the cut hides may go on
+    assert grade("x", "content-terms", "lock") == grade(None, None, "lock") == grade("x", None, "lock") == grade("x", None, "") == (1.0, None)
 
 
 # ---------------------------------------------------------------- search

@@ -18,8 +18,8 @@ def search(rows: DataFrame, query: str, *, mode: str = "keyword", stats: dict |
     """A ranked page.  Keyword searches that find nothing and are shaped like a question fall back to the idf-weighted OR."""
     spec = QuerySpec(query, explicit=mode in ("word", "regex"), **options)
     hits = LANES[mode](rows, spec)
-    if mode == "keyword" and fx.is_question(query) and hits.limit(1).count() == 0:
-        hits = lexical.content(rows, replace(spec, query=" ".join(fx.content_terms(query))))
+    if mode == "keyword" and fx.Reading(query).sentence and hits.limit(1).count() == 0:
+        hits = lexical.content(rows, replace(spec, query=" ".join(fx.Reading(query).content)))
     return ranking.page(ranking.scored(hits, spec, stats=stats, boundaries=mode == "keyword"), spec)
 
 

@@ -1,14 +1,15 @@
 """How well an occurrence of a term is aligned with word borders: 1 at both ends, 0.5 at one, 0 at none.
 
 A border is an end of the text, a separator, a change between letter and digit, a lower-to-upper step, the last capital of
-a run before a lower letter, or a change of script.  An apostrophe between letters joins.
+a run before a lower letter, or a change of script; an apostrophe between letters joins, and no border stands before a combining
+mark.  All of it is one zero-width pattern: a text gets a mark at each border, and patterns of terms then see the marks around
+them, so that grading stays native whatever the script.
 """
 
 from __future__ import annotations
 
-import math
-import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,120 +17,101 @@ from pyspark.sql import functions as F
 from tracelode import schema
 from tracelode.functions import text as fx
 
-_APOSTROPHES = "'’ʼ"
+_END, _BEGIN = "\u0002", "\u0001"  # what a border leaves behind: the end of what was before, the beginning of what follows
+_SCRIPTS = (r"\p{IsLatin}", r"\p{IsGreek}", r"\p{IsCyrillic}", r"\p{IsHan}", r"\p{IsHiragana}\p{IsKatakana}", r"\p{IsHangul}", r"\p{IsArabic}", r"\p{IsHebrew}", r"\p{IsDevanagari}", r"\p{IsThai}")
 
 
-def _script(c: str) -> str:
-    name = unicodedata.name(c, "").split(" ")[0]
-    return "HAN" if name in ("CJK", "IDEOGRAPHIC") else "KANA" if name in ("HIRAGANA", "KATAKANA") else name
+def _change_of_script() -> list[str]:
+    known = "".join(_SCRIPTS)
+    out = [rf"(?<=[\p{{L}}&&[{s}]])(?=[\p{{L}}&&[^{s}]])" for s in _SCRIPTS]
+    return [*out, rf"(?<=[\p{{L}}&&[^{known}]])(?=[\p{{L}}&&[{known}]])"]
 
 
-def _separates(c: str) -> bool:
-    return c.isspace() or unicodedata.category(c)[0] in "PS"
+def edges(separators: str = r"[\s\p{Z}\p{P}\p{S}\p{Cc}]") -> str:
+    """The zero-width pattern of a border."""
+    joined = r"(?<=\p{L})(?=['’ʼ]\p{L})|(?<=\p{L}['’ʼ])(?=\p{L})"
+    steps = [rf"(?<={separators})", rf"(?={separators})", r"(?<=\p{Ll})(?=\p{Lu})", r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})", r"(?<=\p{L})(?=\p{Nd})", r"(?<=\p{Nd})(?=\p{L})", *_change_of_script()]
+    return rf"\A|\z|(?!\p{{M}})(?!{joined})(?:{'|'.join(steps)})"
 
 
-def is_border(text: str, at: int) -> bool:
-    """Whether a word may begin or end before position ``at``."""
-    if at <= 0 or at >= len(text):
-        return True
-    a, b = text[at - 1], text[at]
-    if unicodedata.combining(b):
-        return False
-    after = text[at + 1 : at + 2]
-    if b in _APOSTROPHES and a.isalpha() and after.isalpha():
-        return False
-    if a in _APOSTROPHES and at >= 2 and text[at - 2].isalpha() and b.isalpha():
-        return False
-    if _separates(a) or _separates(b):
-        return True
-    if a.islower() and b.isupper() or a.isupper() and b.isupper() and after.islower():
-        return True
-    if a.isalpha() and b.isdigit() or a.isdigit() and b.isalpha():
-        return True
-    return a.isalpha() and b.isalpha() and _script(a) != _script(b)
+#: In a snippet the ellipsis of a cut makes no border, as nobody knows what stood there.
+CUT_EDGES = edges(r"[[\s\p{Z}\p{P}\p{S}\p{Cc}]&&[^…]]")
 
 
-def quality(text: str, start: int, end: int) -> float:
-    return (is_border(text, start) + is_border(text, end)) / 2
+def marked(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(F.translate(text, _END + _BEGIN, ""), pattern, _END + _BEGIN)
 
 
-def without_cuts(snippet: str) -> str:
-    """Cut marks replaced by their neighbour, so that the edge of a snippet makes no border."""
-    out = list(snippet)
-    for i, c in enumerate(out):
-        if c == "…":
-            near = [x for x in (out[i - 1] if i else "", out[i + 1] if i + 1 < len(out) else "") if x not in ("", " ", "…")]
-            out[i] = near[0] if near else " "
-    return "".join(out)
+def _term(term: str) -> str:
+    """A term in a marked text, with the marks at its beginning and its end as groups."""
+    inner = rf"[{_END}{_BEGIN}]*".join(fx.quoted(c) for c in term)
+    return rf"({_BEGIN}?){inner}({_END}?)"
+
+
+def _between() -> str:
+    return rf"(?:{_BEGIN}?[^\p{{L}}\p{{N}}{_END}{_BEGIN}]{_END}?)*"
+
+
+def _qualities(text: Column, terms: list[str]) -> Column:
+    """For each occurrence of the terms in order, the quality of each."""
+    pattern = fx.ci(_between().join(_term(t) for t in terms))
+
+    def of(found: Column) -> Column:
+        at = lambda group: (F.regexp_extract(found, pattern, group) != "").cast("double")
+        return F.array(*((at(2 * k + 1) + at(2 * k + 2)) / 2 for k in range(len(terms))))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+
+
+def quality(text: Column, term: str, pattern: str | None = None) -> Column:
+    """The best quality of a term in a text; null if the term isn't there."""
+    return F.array_max(F.transform(_qualities(marked(text, pattern or edges()), [term]), lambda q: q[0]))
+
+
+# How likely an occurrence of one, two, three, four and more letters or digits is accidental, in scripts with and
+# without case; scripts without spaces have no accidental ones.
+ACCIDENTAL = {"cased": (0.90, 0.90, 0.75, 0.40, 0.05), "uncased": (0.60, 0.60, 0.30, 0.30, 0.05)}
+UNSPACED = {"CJK", "IDEOGRAPHIC", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR"}
 
 
 def prior(term: str) -> float:
     """How likely an occurrence is accidental, from the term's length and script alone."""
-    n = sum(c.isalnum() for c in term)
-    if not n or all(_script(c) in ("HAN", "KANA", "THAI", "LAO", "KHMER", "MYANMAR") for c in term if c.isalpha()) and any(c.isalpha() for c in term):
+    signs = [c for c in term if c.isalnum()]
+    scripts = {unicodedata.name(c, "?").split()[0] for c in signs if c.isalpha()}
+    if not signs or scripts and scripts <= UNSPACED:
         return 0.0
-    if any(c.lower() != c.upper() for c in term):
-        return {1: 0.90, 2: 0.90, 3: 0.75, 4: 0.40}.get(n, 0.05)
-    return 0.60 if n <= 2 else 0.30 if n <= 4 else 0.05
+    table = ACCIDENTAL["uncased" if term.lower() == term.upper() else "cased"]
+    return table[min(len(signs), len(table)) - 1]
 
 
 def ambiguity(term: str, stats: dict[str, tuple[int, int]] | None = None) -> float:
-    """The prior updated by the corpus: of n families that contain the term, s have it aligned."""
-    p = prior(term)
+    """The prior updated by the corpus, as if it were worth so many families: of n that contain the term, s have it aligned."""
     n, s = (stats or {}).get(term.lower(), (0, 0))
-    return p if n <= 0 else min(1.0, max(0.0, (n - min(n, s) + schema.PRIOR_WEIGHT * p) / (n + schema.PRIOR_WEIGHT)))
+    unaligned = schema.PRIOR_WEIGHT * prior(term) + max(n - s, 0)
+    return min(unaligned / (schema.PRIOR_WEIGHT + max(n, 0)), 1.0)
 
 
-def factor(terms: list[str], qualities: list[float], stats: dict | None = None) -> float:
-    """Geometric mean of what each term's misalignment costs."""
-    if not terms:
-        return 1.0
-    costs = [max(schema.PENALTY_FLOOR, 1 - ambiguity(t, stats) * (1 - q)) for t, q in zip(terms, qualities)]
-    return math.prod(costs) ** (1 / len(costs))
+def cost(qualities: Column, weights: list[float]) -> Column:
+    """Struct factor, fit, class: the geometric mean of what each term's misalignment leaves, and how the terms fit altogether."""
+    left = [F.greatest(F.lit(schema.PENALTY_FLOOR), 1 - F.lit(w) * (1 - qualities[k])) for k, w in enumerate(weights)]
+    factor = F.pow(reduce(Column.__mul__, left), F.lit(1 / len(weights)))
+    fit = F.when(F.array_min(qualities) == 1, 2).when(F.array_max(qualities) == 0, 0).otherwise(1)
+    return F.struct(factor.alias("factor"), fit.alias("fit"), F.element_at(F.array(F.lit("interior"), F.lit("partial"), F.lit("aligned")), fit + 1).alias("class"))
 
 
-def match_class(qualities: list[float]) -> str:
-    return "aligned" if qualities and all(q == 1 for q in qualities) else "interior" if qualities and all(q == 0 for q in qualities) else "partial"
+def graded(snippet: Column, lane: Column, query: str, stats: dict | None = None) -> Column:
+    """Struct factor, class of the best-aligned occurrence of a query in a snippet, natively.
 
-
-def graded(snippet: Column, matched: Column, query: str, stats: dict | None = None) -> Column:
-    """Struct factor, class of the best-aligned occurrence of a query in a snippet (an Arrow UDF over hits only).
-
-    A phrase hit is graded by its own spans, an all-terms hit by each term's best occurrence; other hits get factor 1.
+    A phrase hit is graded by its own spans, an all-terms hit by each term's best occurrence; other hits, and snippets that don't
+    hold the query, get factor 1 and no class.
     """
     terms = fx.tokens(query)
-    whole = re.compile(r"[\W_]*".join(f"({re.escape(t)})" for t in terms), re.I) if terms else None
-
-    def one(text: str | None, lane: str | None) -> tuple[float, str | None]:
-        if not text or not terms or lane == "content-terms":
-            return 1.0, None
-        plain = without_cuts(text)
-        if lane == "all-terms":
-            best = []
-            for t in terms:
-                spans = [m.span() for m in re.finditer(re.escape(t), plain, re.I)]
-                best.append(max((quality(plain, *s) for s in spans), default=0.0))
-            return factor(terms, best, stats), match_class(best)
-        options = [[quality(plain, *m.span(k + 1)) for k in range(len(terms))] for m in whole.finditer(text)]
-        if not options:
-            return 1.0, None
-        top = max(options, key=lambda q: factor(terms, q, stats))
-        return factor(terms, top, stats), match_class(top)
-
-    @F.pandas_udf("factor double, class string")
-    def grade(s, lane):
-        import pandas as pd
-
-        rows = [one(a, b if isinstance(b, str) else None) for a, b in zip(s, lane)]
-        return pd.DataFrame(rows, columns=["factor", "class"])
-
-    return grade(snippet, matched)
-
-
-def ascii_quality(text: Column, term: str) -> Column:
-    """The best quality of a term in an ASCII text, by native patterns only; null if the term isn't there."""
-    q = f"(?i:{fx.quoted(term)})"
-    join = r"(?:(?<=[A-Za-z])(?='[A-Za-z])|(?<=[A-Za-z]')(?=[A-Za-z]))"
-    step = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
-    edge = rf"(?:^|$|(?!{join})(?:(?<![A-Za-z0-9])|(?![A-Za-z0-9])|{step}))"
-    return F.when(~text.rlike(q), None).when(text.rlike(edge + q + edge), 1.0).when(text.rlike(edge + q) | text.rlike(q + edge), 0.5).otherwise(0.0)
+    nothing = F.struct(F.lit(1.0).alias("factor"), F.lit(None).cast("int").alias("fit"), F.lit(None).cast("string").alias("class"))
+    if not terms:
+        return nothing
+    weights = [ambiguity(t, stats) for t in terms]
+    plain = marked(snippet, CUT_EDGES)
+    phrase = F.array_max(F.transform(_qualities(plain, terms), lambda q: cost(q, weights)))
+    each = F.array(*(F.coalesce(F.array_max(F.transform(_qualities(plain, [t]), lambda q: q[0])), F.lit(0.0)) for t in terms))
+    name = F.coalesce(lane, F.lit(""))
+    return F.when(F.coalesce(snippet, F.lit("")) == "", nothing).when(name == "all-terms", cost(each, weights)).when(name == "content-terms", nothing).otherwise(F.coalesce(phrase, nothing))

@@ -186,7 +186,7 @@ def text_sizes(rows: DataFrame) -> DataFrame:
 
 def anchors_present(rows: DataFrame, query: str, most: int = 8) -> DataFrame:
     """(word, present): which content words of a query occur anywhere."""
-    words = [w for w in dict.fromkeys(t.lower() for t in fx.content_terms(query)) if len(w) >= 3][:most]
+    words = [w for w in dict.fromkeys(t.lower() for t in fx.Reading(query).content) if len(w) >= 3][:most]
     pairs = F.explode(F.array(*(F.struct(F.lit(w).alias("word"), F.coalesce(fx.has(F.col("text"), w), F.lit(False)).alias("p")) for w in words)))
     return rows.select(pairs.alias("x")).groupBy("x.word").agg(F.max("x.p").alias("present"))
 
@@ -196,4 +196,4 @@ def overspecified(rows: DataFrame, query: str, share: float = 0.25) -> bool:
     terms = unique_terms(query)
     if len(terms) < 5 or " " not in query.strip():
         return False
-    return fx.is_question(query) or any(r["share"] >= share for r in session_frequencies(rows, [t for t in terms if len(t) >= 3]).collect())  # a row a term
+    return fx.Reading(query).sentence or any(r["share"] >= share for r in session_frequencies(rows, [t for t in terms if len(t) >= 3]).collect())  # a row a term
