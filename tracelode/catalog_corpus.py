@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelode import schema
+from tracelode.catalog_search import _word_quality
 from tracelode.functions import boundary
 from tracelode.functions import text as fx
 from tracelode.operators import accounting, context, corpus, hierarchy
@@ -176,10 +177,10 @@ def boundary_stats(spark, d):
     return corpus.boundary_stats(m, m.select("session", F.col("session").alias("root")).distinct())
 
 
-@_add("boundary_quality", r"""SELECT id, CASE WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9])lock($|[^A-Za-z0-9])') THEN 1.0 WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9])lock') OR regexp_matches(text, '(?i)lock($|[^A-Za-z0-9])') THEN 0.5 ELSE 0.0 END::DOUBLE AS q FROM msgs WHERE regexp_matches(text, '(?i)lock') AND text = lower(text)""")
+@_add("boundary_quality", f"SELECT id, {_word_quality('lock', 'text')}::DOUBLE AS q FROM msgs WHERE regexp_matches(text, '(?i)lock')".replace("…", ""))
 def boundary_quality(spark, d):
-    m = tables.msgs(spark, d).filter(F.col("text") == F.lower("text"))
-    return m.select("id", boundary.ascii_quality(F.col("text"), "lock").cast("double").alias("q")).filter("q is not null")
+    """How well the best occurrence of a word is aligned, over all texts."""
+    return tables.msgs(spark, d).select("id", boundary.quality(F.col("text"), "lock").alias("q")).filter("q is not null")
 
 
 # ---------------------------------------------------------------- families and context
@@ -365,7 +366,17 @@ def live_snapshot(spark, d):
     return live.fold_table(live_events(spark, d)).select("session", "working", "turns", "last_ts")
 
 
-@_add("live_states")
+_LIVE_STATES = """WITH l AS (SELECT 'u-' || user_id AS session, (epoch_us(ts) // 1000) AS ts, CASE event_type WHEN 'signup' THEN 'user' WHEN 'view' THEN 'tool' WHEN 'click' THEN 'tool_done' WHEN 'error' THEN 'reply' ELSE 'done' END AS type,
+  event_type AS name, CAST(floor(value) AS BIGINT) % 5 AS call, trim(regexp_replace(props, '[\\s\\p{Z}]+', ' ', 'g')) AS told, event_id FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS n FROM l),
+w AS (SELECT session, arg_max(type, n) AS label, coalesce(max(n) FILTER (type IN ('user', 'done')), 0) AS cleared, coalesce(arg_max(told, n) FILTER (type IN ('user', 'reply') AND told <> ''), '') AS last_text FROM o GROUP BY session),
+c AS (SELECT session, arg_max(type, n) AS type, arg_max(name, n) AS name, max(n) AS n FROM o WHERE type IN ('tool', 'tool_done') GROUP BY session, call),
+p AS (SELECT session, count(*) AS pending, arg_max(name, c.n) AS newest FROM c JOIN w USING (session) WHERE type = 'tool' AND c.n > cleared GROUP BY session)
+SELECT session, CASE label WHEN 'user' THEN 'thinking' WHEN 'reply' THEN 'replying' WHEN 'done' THEN 'done' ELSE CASE WHEN pending IS NULL THEN 'thinking' WHEN pending > 1 THEN '⚙ ' || newest || ' +' || (pending - 1) ELSE '⚙ ' || newest END END AS state,
+ CAST(coalesce(pending, 0) AS INT) AS pending, CAST(0 AS INT) AS queued, last_text FROM w LEFT JOIN p USING (session)"""
+
+
+@_add("live_states", _LIVE_STATES)
 def live_states(spark, d):
     return live.fold_table(live_events(spark, d)).select("session", "state", "pending", "queued", "last_text")
 

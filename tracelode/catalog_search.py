@@ -112,7 +112,14 @@ def snippets(spark, d):
     return lexical.phrase(tables.msgs(spark, d), QuerySpec("publish_marker")).select("id", "snippet")
 
 
-@_add("snippets_multi_span")
+_SPANS = r"""WITH h AS (SELECT id, text, [strpos(lower(text), 'lease'), strpos(lower(text), 'never'), strpos(lower(text), 'path')] AS spots, [5, 5, 4] AS sizes FROM msgs WHERE contains(lower(text), 'lease') AND contains(lower(text), 'never') AND contains(lower(text), 'path')),
+w AS (SELECT id, text, list_sort(list_transform([1, 2, 3], lambda i: {'a': greatest(spots[i] - 80, 1), 'b': least(spots[i] + sizes[i] + 79, length(text))})) AS w FROM h),
+j AS (SELECT *, w[2].a <= w[1].b + 1 AS j2, greatest(w[1].b, w[2].b) AS b2 FROM w),
+r AS (SELECT id, text, CASE WHEN j2 AND w[3].a <= b2 + 1 THEN [{'a': w[1].a, 'b': greatest(b2, w[3].b)}] WHEN j2 THEN [{'a': w[1].a, 'b': b2}, w[3]] WHEN w[3].a <= w[2].b + 1 THEN [w[1], {'a': w[2].a, 'b': greatest(w[2].b, w[3].b)}] ELSE w END AS r FROM j)
+SELECT id, CASE WHEN r[1].a > 1 THEN '…' ELSE '' END || array_to_string(list_transform(r, lambda x: trim(regexp_replace(substr(text, x.a, x.b - x.a + 1), '[\s\p{Z}]+', ' ', 'g'))), '…') || CASE WHEN r[-1].b < length(text) THEN '…' ELSE '' END AS snippet FROM r"""
+
+
+@_add("snippets_multi_span", _SPANS)
 def snippets_multi_span(spark, d):
     return lexical.all_terms(tables.msgs(spark, d), QuerySpec("lease never path")).select("id", "snippet")
 
@@ -135,10 +142,31 @@ def coverage_bm25(spark, d):
     return lexical.bm25(tables.msgs(spark, d), QuerySpec("shadow rows")).select("id", "score")
 
 
-@_add("overspec_retry")
+_LONG = "reply buffer in some ticket needed edits unless the session is a side chat"
+
+
+def _overspec_sql() -> str:
+    terms = list(dict.fromkeys(_LONG.split()))
+    usable = [i for i, t in enumerate(terms) if len(t) >= 3]
+    each = lambda f, which=range(len(terms)): ", ".join(f(i, terms[i]) for i in which)
+    plus = lambda f, which=range(len(terms)): " + ".join(f(i, terms[i]) for i in which)
+    return f"""WITH t AS (SELECT *, lower(text) AS low, greatest(length(text) - 2, 0) AS dl FROM msgs WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS n, avg(dl) AS avgdl, {each(lambda i, t: f"count(*) FILTER (contains(low, '{t}')) AS d{i}")} FROM t),
+w AS (SELECT *, {each(lambda i, t: f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) AS w{i}", usable)}, {each(lambda i, t: f"ln(1 + n / ({f'd{i}' if i in usable else 'n'} + 1)) AS i{i}")} FROM c),
+f AS (SELECT t.*, w.*, {each(lambda i, t: f"(length(low) - length(replace(low, '{t}', ''))) / {len(t)} AS f{i}")} FROM t, w),
+s AS (SELECT id, session, ts, turn, who, low, round({plus(lambda i, t: f"w{i} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))", usable)}, 6) AS score,
+  round(({plus(lambda i, t: f"(CASE WHEN f{i} > 0 THEN i{i} ELSE 0 END)")}) / ({plus(lambda i, t: f"i{i}")}), 4) AS coverage_mass FROM f WHERE {plus(lambda i, t: f"f{i}", usable)} > 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY {_RANKED}) AS rn FROM s WHERE session IS NOT NULL AND coverage_mass >= 0.55 AND NOT regexp_matches(low, '{"[^\\p{L}\\p{N}]*".join(terms)}'))
+SELECT id, session, score, coverage_mass FROM h WHERE rn = 1 ORDER BY score DESC, session LIMIT 5"""
+
+
+_RANKED = "score DESC, coalesce(ts, 0) DESC, coalesce(turn, -1), coalesce(who, ''), id"
+
+
+@_add("overspec_retry", _overspec_sql())
 def overspec_retry(spark, d):
     """Rows that cover much of an over-specified query without quoting it, at most one a session."""
-    hits = lexical.bm25(tables.msgs(spark, d), QuerySpec("reply buffer in some ticket needed edits unless the session is a side chat"))
+    hits = lexical.bm25(tables.msgs(spark, d), QuerySpec(_LONG))
     good = hits.filter(~F.col("query_echo") & (F.col("coverage_mass") >= 0.55)).withColumn("matched", F.lit("content-terms"))
     return ranking.heads(good, "session").orderBy(F.desc("score"), "session").limit(5).select("id", "session", "score", "coverage_mass")
 
@@ -180,14 +208,33 @@ def session_text_sizes(spark, d):
 
 # ---------------------------------------------------------------- ranking
 
-_SCORED = f"""{_hits_sql(_OPEN)},
-m AS (SELECT *, list_transform(regexp_extract_all(snippet, '(?i){_OPEN}'), lambda x: length(x)) AS ls FROM hits),
-scored AS (SELECT *, CASE WHEN len(ls) > 0 THEN least(1.0, 12.0 / list_min(ls)) * (1 - pow(0.5, len(ls))) ELSE 0 END AS m0,
-  greatest(pow(0.5, greatest(0, {schema.NOW_MS} - coalesce(ts, 0)) / 86400000.0 / 14.0), CASE WHEN who = 'user' THEN 0.35 ELSE 0 END) AS rec,
+_WEIGHED = f"""greatest(pow(0.5, greatest(0, {schema.NOW_MS} - coalesce(ts, 0)) / 86400000.0 / 14.0), CASE WHEN who = 'user' THEN 0.35 ELSE 0 END) AS rec,
   CASE who WHEN 'user' THEN 1.0 WHEN 'subagent' THEN 0.85 WHEN 'agent' THEN 0.8 WHEN 'tool' THEN 0.4 ELSE 0.5 END AS ww,
   CASE who WHEN 'subagent' THEN 0.85 WHEN 'recap' THEN 0.65 WHEN 'control' THEN 0.65 WHEN 'synthetic' THEN 0.60 WHEN 'harness' THEN 0.60 WHEN 'tool' THEN 0.55 ELSE 1.0 END AS ss,
-  CASE WHEN who IN ('harness', 'synthetic') OR (who = 'subagent' AND turn = 0) THEN 0.45 ELSE 1.0 END AS mm FROM m),
-ranked AS (SELECT *, round(CAST(m0 * rec * ww * ss * mm AS DOUBLE), 4) AS score FROM scored)"""
+  CASE WHEN who IN ('harness', 'synthetic') OR (who = 'subagent' AND turn = 0) THEN 0.45 ELSE 1.0 END AS mm"""
+
+
+def _scored_sql(pattern: str, letters: int, quality: str = "1.0", accidental: float = 0.0) -> str:
+    """Hits of a pattern with their scores; ``quality`` says how well the hit is aligned, ``accidental`` what that counts."""
+    return f"""{_hits_sql(pattern)},
+m AS (SELECT *, list_transform(regexp_extract_all(snippet, '(?i){pattern}'), lambda x: length(x)) AS ls, CAST({quality} AS DOUBLE) AS q FROM hits),
+scored AS (SELECT *, CASE WHEN len(ls) > 0 THEN least(1.0, {letters}.0 / list_min(ls)) * (1 - pow(0.5, len(ls))) ELSE 0 END AS m0, greatest(0.12, 1 - {accidental} * (1 - q)) AS b,
+  CASE WHEN q = 1 THEN 'aligned' WHEN q = 0 THEN 'interior' ELSE 'partial' END AS boundary_class, {_WEIGHED} FROM m),
+ranked AS (SELECT *, round(CAST(m0 * rec * ww * b * ss * mm AS DOUBLE), 4) AS score FROM scored)"""
+
+
+def _word_quality(word: str, column: str = "snippet") -> str:
+    """SQL of the alignment of a lower-case word in a text.  RE2 looks at no neighbours, so each side is spelled out with them."""
+    any_case = lambda t: "".join(f"[{c}{c.upper()}]" for c in t)
+    f, s, z, body = word[0], word[1], word[-1], any_case(word[1:-1])
+    apart = r"[^\p{Latin}\p{Nd}\p{M}''’ʼ…]"
+    begin = rf"(?:(?:^|{apart}|(?:^|[^\p{{L}}])[''’ʼ]|\p{{Nd}})[{f}{f.upper()}]{body}|\p{{Ll}}{f.upper()}{body}|\p{{Lu}}{f.upper()}{s}{any_case(word[2:-1])})"
+    end = rf"(?:[{z}{z.upper()}](?:$|{apart}|[''’ʼ](?:$|[^\p{{L}}])|\p{{Nd}})|{z}\p{{Lu}}|{z.upper()}\p{{Lu}}\p{{Ll}})"
+    return f"CASE WHEN regexp_matches({column}, '{begin}{end}') THEN 1.0 WHEN regexp_matches({column}, '{begin}[{z}{z.upper()}]') OR regexp_matches({column}, '{any_case(word[:-1])}{end}') THEN 0.5 ELSE 0.0 END"
+
+
+_SCORED = _scored_sql(_OPEN, 12)
+_LEASE = _scored_sql("lease", 5, _word_quality("lease"), 0.05)
 _ORDER = "score DESC, coalesce(ts, 0) DESC, session ASC NULLS FIRST, coalesce(turn, -1), coalesce(who, ''), id"
 
 
@@ -202,10 +249,10 @@ def search_ranked(spark, d):
     return ranking.page(hits, spec).select("id", "session", "turn", "who", "snippet", "score")
 
 
-@_add("search_boundaries")
+@_add("search_boundaries", f"WITH {_LEASE} SELECT id, session, turn, who, score, round(CAST(m0 * b AS DOUBLE), 6) AS evidence, boundary_class FROM ranked ORDER BY {_ORDER} LIMIT 200")
 def search_boundaries(spark, d):
-    """The ranked page with boundary factors (graded by an Arrow UDF)."""
-    spec = QuerySpec("open_snapshot", limit=20)
+    """The ranked page with border factors: a word that stands alone, in longer words and beside them."""
+    spec = QuerySpec("lease", limit=200)
     return ranking.page(ranking.scored(lexical.merged(tables.msgs(spark, d), spec), spec), spec).select("id", "session", "turn", "who", "score", "evidence", "boundary_class")
 
 
@@ -244,9 +291,9 @@ def meta_demote(spark, d):
     return fusion.meta_last(fusion.page_of(hits)).select("id", "meta", "place")
 
 
-@_add("count_by_tier")
+@_add("count_by_tier", f"WITH {_LEASE} SELECT CASE boundary_class WHEN 'aligned' THEN 'phrase_aligned' ELSE boundary_class END AS tier, count(*) AS rows FROM ranked GROUP BY ALL")
 def count_by_tier(spark, d):
-    spec = QuerySpec("open snapshot")
+    spec = QuerySpec("lease")
     return ranking.tiers(ranking.scored(lexical.merged(tables.msgs(spark, d), spec), spec))
 
 
@@ -318,9 +365,16 @@ def pack_multi_query(spark, d):
     return fusion.packed(tables.msgs(spark, d), ["shadow rows", "tree walk"]).select("query_no", "id", "phrase")
 
 
-@_add("recall_select")
+_TWO = f"""WITH a AS (WITH {_LEASE} SELECT 0 AS query_no, id, session, score, row_number() OVER (ORDER BY {_ORDER}) AS place FROM ranked), b AS (WITH {_scored_sql("ticket", 6, _word_quality("ticket"), 0.05)} SELECT 1 AS query_no, id, session, score, row_number() OVER (ORDER BY {_ORDER}) AS place FROM ranked),
+both_ AS (SELECT * FROM a WHERE place <= 40 UNION ALL SELECT * FROM b WHERE place <= 40),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place, query_no) AS rn FROM both_) WHERE rn = 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY place) AS round FROM (SELECT *, row_number() OVER (PARTITION BY query_no, session ORDER BY place) AS fn FROM s) WHERE fn = 1)
+SELECT query_no, id, session, score FROM f ORDER BY round, query_no LIMIT 8"""
+
+
+@_add("recall_select", _TWO)
 def recall_select(spark, d):
-    spec = [QuerySpec("shadow rows"), QuerySpec("tree walk")]
+    spec = [QuerySpec("lease"), QuerySpec("ticket")]
     pages = [fusion.page_of(ranking.scored(lexical.merged(tables.msgs(spark, d), s), s)).withColumn("query_no", F.lit(n)).withColumn("family", F.col("session")) for n, s in enumerate(spec)]
     return fusion.recalled(pages[0].unionByName(pages[1]), 8).select("query_no", "id", "session", "score")
 
@@ -331,7 +385,14 @@ def exact_fold(spark, d):
     return fusion.folded(fusion.page_of(hits, 200)).select("id")
 
 
-@_add("near_fold")
+_NEAR = rf"""WITH {_SCORED}, p AS (SELECT id, who, snippet, row_number() OVER (ORDER BY {_ORDER}) AS pl FROM ranked), h AS (SELECT * FROM p WHERE pl <= 200),
+w AS (SELECT id, who, pl, list_filter(regexp_split_to_array(lower(snippet), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM h WHERE length(snippet) >= 48),
+s AS (SELECT id, who, pl, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM w),
+n AS (SELECT b.id, arg_min(a.id, a.pl) AS "like" FROM s a JOIN s b ON a.who IS NOT DISTINCT FROM b.who AND a.pl < b.pl AND 2 * len(list_intersect(a.sh, b.sh)) / (len(a.sh) + len(b.sh)) >= 0.92 GROUP BY b.id)
+SELECT id, "like" FROM h LEFT JOIN n USING (id)"""
+
+
+@_add("near_fold", _NEAR)
 def near_fold(spark, d):
     hits, _ = _scored(spark, d)
     return fusion.near_folded(fusion.page_of(hits, 200)).select("id", "like")
@@ -348,15 +409,18 @@ def hybrid_merge(spark, d):
     return fusion.hybrid(fusion.page_of(hits), rows)
 
 
-@_add("diversify")
+_PAGED = f"WITH {_LEASE}, p AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS pl FROM ranked)"
+
+
+@_add("diversify", f"{_PAGED}, n AS (SELECT *, CASE WHEN session IS NULL OR row_number() OVER (PARTITION BY session ORDER BY pl) > 1 THEN 1 ELSE 0 END AS nth FROM p WHERE pl <= 40) SELECT id, 'phrase' AS lane, CAST(row_number() OVER (ORDER BY mm < 1, nth, pl) - 1 AS INT) AS place FROM n")
 def diversify(spark, d):
-    spec = QuerySpec("open snapshot")
+    spec = QuerySpec("lease")
     page = fusion.page_of(ranking.scored(lexical.merged(tables.msgs(spark, d), spec), spec))
     lanes = page.withColumn("lane", F.when(F.col("matched") == "all-terms", "all").otherwise("phrase")).withColumn("family", F.col("session"))
     return fusion.diversified(lanes).select("id", "lane", "place")
 
 
-@_add("probe_pointer")
+@_add("probe_pointer", f"WITH {_SCORED} SELECT id, session, turn, score FROM ranked ORDER BY {_ORDER} LIMIT 1")
 def probe_pointer(spark, d):
     hits, _ = _scored(spark, d)
     return fusion.probe(fusion.page_of(hits).withColumn("lane", F.lit("phrase"))).select("id", "session", "turn", "score")
@@ -369,7 +433,10 @@ def compose_page(spark, d):
     return spark.createDataFrame([(i, r["id"], r["session"], r["score"]) for i, r in enumerate(rows)], "place int, id bigint, session string, score double")
 
 
-@_add("query_echoes")
+_ECHO = r"open[^\p{L}\p{N}]*snapshot[^\p{L}\p{N}]*behind[^\p{L}\p{N}]*a[^\p{L}\p{N}]*flag"
+
+
+@_add("query_echoes", f"WITH {_SCORED}, p AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS pl, regexp_matches(text, '(?i){_ECHO}') AS echo FROM ranked) SELECT id, echo, CAST(row_number() OVER (ORDER BY echo, pl) - 1 AS INT) AS place FROM p WHERE pl <= 40")
 def query_echoes(spark, d):
     hits, _ = _scored(spark, d)
     return fusion.echoes_last(fusion.page_of(hits), "open_snapshot behind a flag").select("id", "echo", "place")

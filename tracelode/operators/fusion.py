@@ -147,4 +147,4 @@ def near_folded(hits: DataFrame, *, shingle: int = 5, least: float = 0.92, min_c
 
 
 def page_of(rows: DataFrame, limit: int = PAGE) -> DataFrame:
-    return ranking.ranked(rows).filter(F.col("place") < limit)
+    return ranking.ranked(rows, limit)

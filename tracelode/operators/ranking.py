@@ -70,15 +70,18 @@ def scored(hits: DataFrame, spec: QuerySpec, *, stats: dict | None = None, bound
     return rows.select(*hits.columns, F.round(value, 4).alias("score"), F.round(F.col("match") * factor, 6).alias("evidence"), kind.alias("boundary_class"), meta.alias("meta"))
 
 
-def order(sort: str = "score") -> list[Column]:
-    """The complete order of a page: by score (phrases before scattered terms), by time or by place."""
+def rank_key(sort: str = "score") -> list[Column]:
+    """The complete order of a page, every part ascending: by score (phrases before scattered terms), by time or by place."""
     lane = _by_value(F.coalesce("matched", F.lit("")), {k: float(v) for k, v in schema.LANE_CLASS.items()}, 0.0)
-    ties = [F.coalesce("ts", F.lit(0)).desc(), F.col("session").asc_nulls_first(), F.coalesce("turn", F.lit(-1)).asc(), F.coalesce("who", F.lit("")).asc(), F.col("id").asc()]
-    if sort == "time":
-        return ties
+    place = [F.col("session"), F.coalesce("turn", F.lit(-1))]
     if sort == "position":
-        return [F.col("session").asc_nulls_first(), F.coalesce("turn", F.lit(-1)).asc(), F.col("id").asc()]
-    return [lane.asc(), F.col("score").desc(), *ties]
+        return [*place, F.col("id")]
+    ties = [-F.coalesce("ts", F.lit(0)), *place, F.coalesce("who", F.lit("")), F.col("id")]
+    return ties if sort == "time" else [lane, -F.col("score"), *ties]
+
+
+def order(sort: str = "score") -> list[Column]:
+    return [c.asc_nulls_first() for c in rank_key(sort)]
 
 
 def page(hits: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -87,15 +90,15 @@ def page(hits: DataFrame, spec: QuerySpec) -> DataFrame:
     return ordered.limit(spec.limit) if spec.limit else ordered
 
 
-def ranked(hits: DataFrame, sort: str = "score") -> DataFrame:
-    """A page (at most a few hundred rows) with its positions from 0."""
-    return hits.withColumn("place", F.row_number().over(Window.orderBy(*order(sort))) - 1)
+def ranked(hits: DataFrame, limit: int, sort: str = "score") -> DataFrame:
+    """The first ``limit`` hits with their positions from 0: a top-k on every task first, and only its rows are numbered."""
+    return hits.orderBy(*order(sort)).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order(sort))) - 1)
 
 
 def heads(hits: DataFrame, key: str, sort: str = "score") -> DataFrame:
-    """The best hit of each ``key`` with the number of its hits; Spark prunes all but the first of each key before the shuffle."""
-    best = hits.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order(sort)))).filter("__rn = 1").drop("__rn")
-    return best.join(hits.groupBy(key).agg(F.count(F.lit(1)).alias("hits")), key)
+    """The best hit of each ``key`` with the number of its hits: one aggregate that combines before the shuffle; null keys have none."""
+    best = F.min_by(F.struct(*(c for c in hits.columns if c != key)), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(rank_key(sort)))))
+    return hits.filter(F.col(key).isNotNull()).groupBy(key).agg(best.alias("best"), F.count(F.lit(1)).alias("hits")).select(key, "best.*", "hits")
 
 
 def tiers(hits: DataFrame) -> DataFrame:
