@@ -458,6 +458,32 @@ def test_neighbour_recall(spark):
     assert np.mean([len(set(found[i]) & set(truth[i])) / 10 for i in asked]) >= 0.9
 
 
+def test_a_neighbourhood_join_against_all_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, dim, kept = 40, 8, 4
+    ids = rng.permutation(10_000)[:n].astype(np.int64) - 5000
+    q = rng.integers(-32767, 32767, (n, dim)).astype("<i2")
+    unit = q / np.linalg.norm(q.astype(float), axis=1, keepdims=True)
+    worst, lists = rng.uniform(-0.5, 0.5, n).astype(np.float32), [rng.choice(ids, kept, replace=False).tolist() for _ in range(n)]
+    hoods = [rng.choice(ids, rng.integers(1, 9), replace=False).tolist() for _ in range(30)]
+    fresh = [int(rng.integers(0, len(h) + 1)) for h in hoods]
+    around = pa.table({"blk": [0] * 30, "members": pa.array(hoods, pa.list_(pa.int64())), "fresh": pa.array(fresh, pa.int32())})
+    there = pa.table({"at": [0] * n, "m": ids, "vec": [r.tobytes() for r in q], "worst": worst, "known": pa.array(lists, pa.list_(pa.int64()))})
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    want = {}
+    for h, f in zip(hoods, fresh):
+        for x, a in enumerate(h):
+            for y, b in enumerate(h):
+                s = float(unit[at[a]] @ unit[at[b]])
+                if a != b and min(x, y) < f and s > worst[at[a]] and b not in lists[at[a]]:
+                    want.setdefault(a, {})[b] = s
+    want = {(a, b) for a, found in want.items() for b in sorted(found, key=lambda b: -found[b])[:kept]}
+    got = neighbours._local_join(dim, kept)((0,), around, there).to_pylist()
+    assert {(r["node"], r["nbr"]) for r in got} == want and len(got) == len(want)
+
+
 def test_usable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 0, "h1", [1.0, 0.0]), (2, 1, "h1", [2.0, 0.0]), (3, 0, "h2", None), (4, 0, "h3", [0.0, 0.0]), (5, 0, "h4", [1.0]), (6, 0, "h5", [nan, 1.0]), (7, 0, "h6", [inf, 1.0]), (8, 0, "h7", [None, 1.0]), (9, 0, None, [1.0, 1.0]), (10, 0, "h8", [1.0, 0.1]), (11, 0, "h9", [-1.0, 0.0])]

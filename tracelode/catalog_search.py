@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelode import schema
 from tracelode.operators import filters, fusion, lexical, ranking, semantic
 from tracelode.operators.filters import QuerySpec
+from tracelode.plans.workspace import Workspace
 from tracelode.sources import tables
 
 QUERIES: dict = {}
@@ -323,7 +324,7 @@ def semantic_grouped_topk(spark, d):
 
 @_add("q8_quantize", "WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS t FROM embeddings) SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 127 / t) AS INT)) AS q FROM m")
 def q8_quantize(spark, d):
-    return tables.vectors(spark, d).select("vec_id", semantic.quantised(F.col("vec"))["q"].alias("q"))
+    return semantic.stored_q8(tables.vectors(spark, d), 64).select("vec_id", F.col("q").cast("array<int>").alias("q"))
 
 
 @_add("q8_topk_rerank", f"WITH {_COS} SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 5")
@@ -332,6 +333,44 @@ def q8_topk_rerank(spark, d):
     return semantic.quantised_topk(v, q, 5, ["vec_id"]).select("vec_id", "score")
 
 
+@_add("q8_session_pool", f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s), b AS (SELECT label FROM r WHERE rank = 1 ORDER BY score DESC, vec_id LIMIT 3) SELECT vec_id, label, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4 AND label IN (SELECT label FROM b)")
+def q8_session_pool(spark, d):
+    v, q = _query_vector(spark, d)
+    stored = Workspace(spark, "q8").save(semantic.stored_q8(v, len(q)), "q8")
+    return semantic.session_pool(stored, q, 3, 4, "label", ["vec_id"]).select("vec_id", "label", "score", F.col("rank").cast("int").alias("rank"))
+
+
+_REF_COS = """f AS (SELECT row_ref, batch, vec FROM pending_vectors WHERE len(vec) = 96 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_max(list_transform(vec, lambda x: abs(x))) > 0),
+v AS (SELECT row_ref, arg_min(vec, batch) AS vec FROM f GROUP BY row_ref), q AS (SELECT list_transform(vec, lambda x: x::DOUBLE) AS qv FROM v WHERE row_ref = (SELECT min(row_ref) FROM v)),
+s AS (SELECT row_ref, round(list_dot_product(list_transform(vec, lambda x: x::DOUBLE), qv) / (sqrt(list_dot_product(list_transform(vec, lambda x: x::DOUBLE), list_transform(vec, lambda x: x::DOUBLE))) * sqrt(list_dot_product(qv, qv))), 6) AS score FROM v, q)"""
+
+
+def _ref_vectors(spark, d):
+    """(row_ref, vec): the first usable vector of each reference, and the query vector, that of the first reference."""
+    from tracelode.operators import semantic as sem
+
+    pending = tables.table(spark, d, "pending_vectors").filter("size(vec) = 96")
+    usable = sem.stored_q8(pending, 96).filter("inv_norm > 0")
+    first = usable.groupBy("row_ref").agg(F.min_by(F.struct("vec", "q", "inv_norm"), "batch").alias("r")).select("row_ref", "r.*")
+    return first, [float(x) for x in first.orderBy("row_ref").first()["vec"]]
+
+
+@_add("semantic_filtered", f"WITH {_REF_COS} SELECT row_ref, score FROM s JOIN refs USING (row_ref) WHERE source_kind = 1 AND turn < 20 ORDER BY score DESC, row_ref LIMIT 25")
+def semantic_filtered(spark, d):
+    """The best vectors among the replies of early turns."""
+    v, q = _ref_vectors(spark, d)
+    rows = semantic.filtered(v, tables.table(spark, d, "refs"), "row_ref", (F.col("source_kind") == 1) & (F.col("turn") < 20))
+    return semantic.topk(semantic.similar(rows, q), 25, ["row_ref"]).select("row_ref", "score")
+
+
+@_add("semantic_text_dedup", f"WITH {_REF_COS}, t AS (SELECT text_hash, min(row_ref) AS row_ref FROM refs JOIN v USING (row_ref) GROUP BY text_hash) SELECT row_ref, text_hash, score FROM s JOIN t USING (row_ref) ORDER BY score DESC, row_ref LIMIT 10")
+def semantic_text_dedup(spark, d):
+    """The ten best texts, each by its first reference."""
+    v, q = _ref_vectors(spark, d)
+    rows = v.join(tables.table(spark, d, "refs").select("row_ref", "text_hash"), "row_ref")
+    return semantic.quantised_topk(rows, q, 10, ["row_ref"], text_key="text_hash").select("row_ref", "text_hash", "score")
+
+
 @_add("semantic_policy_counts", f"WITH {_COS}, w AS (SELECT score, CASE label % 3 WHEN 0 THEN 'recap' WHEN 1 THEN 'user' ELSE 'agent' END AS who FROM s) SELECT count(*) AS rows, count(*) FILTER (who <> 'recap') AS accepted, count(*) FILTER (who <> 'recap' AND score < 0.82) AS weak, count(*) FILTER (who <> 'recap' AND score >= 0.84) AS strong, count(*) FILTER (who = 'recap') AS machine FROM w")
 def semantic_policy_counts(spark, d):
     v, q = _query_vector(spark, d)
@@ -398,13 +437,20 @@ def near_fold(spark, d):
     return fusion.near_folded(fusion.page_of(hits, 200)).select("id", "like")
 
 
-@_add("hybrid_merge")
+_HYBRID = f"""WITH {_REF_COS}, near AS (SELECT row_ref AS id, session, turn, CASE WHEN source_kind = 0 THEN 'user' ELSE 'agent' END AS who, score FROM s JOIN refs USING (row_ref) ORDER BY score DESC, row_ref LIMIT 40),
+l AS (WITH {_SCORED} SELECT id, session, turn, who, snippet, score, round(CAST(m0 AS DOUBLE), 6) < 0.25 AS weak, row_number() OVER (ORDER BY {_ORDER}) - 1 AS place FROM ranked QUALIFY place < 40),
+x AS (SELECT *, count(*) FILTER (NOT weak) OVER () AS strong FROM l),
+v3 AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.session = n.session AND l.turn = n.turn) ORDER BY score DESC, id LIMIT 3),
+u AS (SELECT id, session, turn, who, snippet, score, 'lexical' AS lane, CASE WHEN strong > 0 AND place < least(3, strong) THEN 0 ELSE 2 END AS slot, CAST(place AS DOUBLE) AS rank FROM x UNION ALL SELECT id, session, turn, who, NULL, score, 'semantic', 1, -score FROM v3)
+SELECT id, session, turn, who, snippet, score, lane, CAST(row_number() OVER (ORDER BY slot, rank, id) - 1 AS INT) AS place FROM u QUALIFY place < 40"""
+
+
+@_add("hybrid_merge", _HYBRID)
 def hybrid_merge(spark, d):
     """Lexical page with vector rows: the vectors' texts are msgs rows by their reference."""
     hits, spec = _scored(spark, d)
-    refs = tables.table(spark, d, "refs").join(tables.table(spark, d, "pending_vectors").filter("size(vec) = 96"), "row_ref")
-    q = [float(x or 0) for x in refs.orderBy("row_ref").first()["vec"]]
-    near = semantic.topk(semantic.similar(refs, q), 40, ["row_ref"])
+    v, q = _ref_vectors(spark, d)
+    near = semantic.topk(semantic.similar(v.join(tables.table(spark, d, "refs"), "row_ref"), q), 40, ["row_ref"])
     rows = near.select(F.col("row_ref").alias("id"), "session", "turn", F.when(F.col("source_kind") == 0, "user").otherwise("agent").alias("who"), F.lit(None).cast("string").alias("snippet"), "score")
     return fusion.hybrid(fusion.page_of(hits), rows)
 

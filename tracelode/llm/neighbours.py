@@ -28,7 +28,8 @@ K = 10
 KEPT = 18  # neighbours kept in the graph; more than K, so that dense places are well linked
 TABLES, BLOCK, BITS = 8, 256, 62
 REVERSE = 8
-MAX_ROUNDS, ENOUGH = 6, 0.001  # stop when fewer than this share of all neighbours changed
+PLACE = 1024  # nodes whose neighbourhoods are compared in one task at once
+MAX_ROUNDS, ENOUGH = 30, 0.001  # a round that proposes fewer than this share of all neighbours is the last; the rounds are a safeguard
 SEED = 20240201
 
 NODE = "node bigint, vec binary, codes array<bigint>"
@@ -147,11 +148,42 @@ def initial_graph(nodes: DataFrame, dim: int, *, kept: int = KEPT, block: int =
     return _best(_in_blocks(nodes.withColumn("asks", F.lit(False)), dim, kept, block), kept)
 
 
-def _local_join(dim: int, kept: int):
-    """Compares all members of each neighbourhood; emits (node, nbr, sim) that beat the node's worst neighbour."""
+def placed(nodes: DataFrame, *, size: int = PLACE) -> DataFrame:
+    """(node, blk): blocks of ``size`` nodes that lie together in the order of the first codes; whatever the data, none is larger."""
 
-    def run(batches):
+    def number(batches):
+        from pyspark import TaskContext
+
+        at, part = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
+            blk = part | (np.arange(at, at + batch.num_rows, dtype=np.int64) // size)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blk)], ["node", "blk"])
+
+    rows = nodes.select("node", F.col("codes")[0].alias("code"))
+    return rows.repartitionByRange("code", "node").sortWithinPartitions("code", "node").select("node").mapInArrow(number, "node bigint, blk bigint")
+
+
+def _local_join(dim: int, kept: int):
+    """Compares all members of each neighbourhood of a block; gives (node, nbr, sim) that beat the node's worst neighbour.
+
+    ``around`` has each node's members, the ``fresh`` ones first, ``there`` each member once, with its vector, worst similarity and known
+    neighbours.  A pair that several neighbourhoods propose is given once, and no more than a node can keep.
+    """
+
+    def run(around: pa.Table, there: pa.Table) -> pa.Table:
+        ids = there.column("m").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        x = _matrix(there.column("vec").combine_chunks(), dim)[order]
+        worst = there.column("worst").to_numpy()[order]
+        lists = there.column("known").combine_chunks().take(pa.array(order))
+        known = np.full((len(ids), kept), -1, np.int64)  # as places of the block; what isn't here can't be proposed
+        flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        known[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.where(ids[at] == flat, at, -1)
+        parts = [[], [], []]
+        for batch in around.to_batches(256):
             members = batch.column("members")
             flat = members.flatten()
             if not len(flat):
@@ -160,77 +192,69 @@ def _local_join(dim: int, kept: int):
             width = int(counts.max())
             rows = np.repeat(np.arange(len(counts)), counts)
             cols = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-            ids = np.zeros((len(counts), width), np.int64)
-            x = np.zeros((len(counts), width, dim), np.float32)
-            worst = np.full((len(counts), width), 3.0, np.float32)
-            known = np.zeros((len(counts), width, kept), np.int32)
-            fresh = np.zeros((len(counts), width), bool)
-            ids[rows, cols] = flat.field("m").to_numpy()
-            x[rows, cols] = _matrix(flat.field("vec"), dim)
-            worst[rows, cols] = flat.field("worst").to_numpy()
-            fresh[rows, cols] = flat.field("fresh").to_numpy(zero_copy_only=False)
-            known[rows, cols] = np.frombuffer(b"".join(flat.field("known").to_pylist()), dtype=">i4").reshape(-1, kept)
-            out = []
-            for lo in range(0, len(counts), 256):
-                part = slice(lo, lo + 256)
-                s = x[part] @ x[part].transpose(0, 2, 1)
-                better = (s > worst[part][:, :, None]) & (fresh[part][:, :, None] | fresh[part][:, None, :]) & (worst[part] < 2.5)[:, None, :]
-                better &= ids[part][:, :, None] != ids[part][:, None, :]
-                r, a, b = np.nonzero(better)
-                r += lo
-                low = (ids[r, b] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-                new = ~(known[r, a] == low[:, None]).any(1)
-                r, a, b = r[new], a[new], b[new]
-                out.append((ids[r, a], ids[r, b], s[r - lo, a, b]))
-            node, nbr, sim = (np.concatenate(c) for c in zip(*out))
-            if len(node):
-                # the batch's duplicates needn't travel, nor more than a node can keep
-                order = np.lexsort((nbr, -sim, node))
-                node, nbr, sim = node[order], nbr[order], sim[order]
-                first = np.r_[True, (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])]
-                node, nbr, sim = node[first], nbr[first], sim[first]
-                begin = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1]
-                rank = np.arange(len(node)) - np.repeat(begin, np.diff(np.r_[begin, len(node)]))
-                ok = rank < kept
-                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(nbr[ok]), pa.array(sim[ok].astype(np.float32))], ["node", "nbr", "sim"])
-
-    return run
-
-
-def _round(nodes: DataFrame, graph: DataFrame, previous: DataFrame | None, number: int, dim: int, kept: int) -> DataFrame:
+            at = np.zeros((len(counts), width), np.int64)
+            real = np.arange(width)[None, :] < counts[:, None]
+            fresh = np.arange(width)[None, :] < batch.column("fresh").to_numpy()[:, None]
+            at[rows, cols] = np.searchsorted(ids, flat.to_numpy())
+            v = x[at]
+            s = v @ v.transpose(0, 2, 1)
+            better = (s > worst[at][:, :, None]) & (fresh[:, :, None] | fresh[:, None, :]) & real[:, :, None] & real[:, None, :] & (at[:, :, None] != at[:, None, :])
+            r, a, b = np.nonzero(better)
+            i, j, sim = at[r, a], at[r, b], s[r, a, b]
+            new = ~(known[i] == j[:, None]).any(1)
+            for part, values in zip(parts, (i[new], j[new], sim[new])):
+                part.append(values)
+        if not parts[0]:
+            return pa.table({"node": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
+        i, j, sim = (np.concatenate(p) for p in parts)
+        _, first = np.unique(i * len(ids) + j, return_index=True)
+        i, j, sim = i[first], j[first], sim[first]
+        best = np.lexsort((ids[j], -sim, i))
+        i, j, sim = i[best], j[best], sim[best]
+        begin = np.r_[0, np.flatnonzero(i[1:] != i[:-1]) + 1] if len(i) else np.array([], int)
+        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)]))
+        ok = rank < kept
+        return pa.table({"node": ids[i[ok]], "nbr": ids[j[ok]], "sim": sim[ok].astype(np.float32)})
+
+    def checked(key, around: pa.Table, there: pa.Table) -> pa.Table:
+        return run(around, there)
+
+    return checked
+
+
+def _round(nodes: DataFrame, blocks: DataFrame, graph: DataFrame, previous: DataFrame | None, number: int, dim: int, kept: int) -> DataFrame:
     """Proposals (node, nbr, sim) of one local join.  ``previous`` is the graph one round ago: only neighbourhoods with a
-    neighbour that wasn't there yet are worth comparing with that neighbour."""
-    if previous is None:
-        marked = graph.select("node", F.transform("nbrs", lambda m: F.named_struct(F.lit("m"), m, F.lit("fresh"), F.lit(True))).alias("out"))
-    else:
-        old = previous.select("node", F.col("nbrs").alias("before"))
-        marked = graph.join(old, "node", "left").select(
-            "node", F.transform("nbrs", lambda m: F.named_struct(F.lit("m"), m, F.lit("fresh"), ~F.coalesce(F.array_contains("before", m), F.lit(False)))).alias("out"))
-    edges = marked.select("node", F.explode("out").alias("e")).select("node", F.col("e.m").alias("m"), F.col("e.fresh").alias("fresh"))
+    neighbour that wasn't there yet are worth comparing with that neighbour.
+
+    Neighbourhoods are put together by ids alone.  Those of nodes that lie together are compared in one task, to which each
+    member's vector travels once.
+    """
+    before = F.array().cast("array<bigint>") if previous is None else F.coalesce("before", F.array().cast("array<bigint>"))
+    known = graph if previous is None else graph.join(previous.select("node", F.col("nbrs").alias("before")), "node", "left")
+    marked = known.select("node", F.array_except("nbrs", before).alias("fresh"), F.array_intersect("nbrs", before).alias("old"))
+    edges = marked.select("node", F.size("fresh").alias("n"), F.posexplode(F.concat("fresh", "old")).alias("at", "m")).select("node", "m", (F.col("at") < F.col("n")).alias("new"))
     # samples with replacement of the reverse neighbours: the one with the lowest hash, for some hash functions
-    samples = [F.min_by(F.struct(F.col("node").alias("m"), "fresh"), F.xxhash64("node", F.lit(number * 100 + i))).alias(f"s{i}") for i in range(REVERSE)]
+    samples = [F.min_by(F.struct("node", "new"), F.xxhash64("node", F.lit(number * 100 + i))).alias(f"s{i}") for i in range(REVERSE)]
     reverse = edges.groupBy(F.col("m").alias("node")).agg(F.array(*samples).alias("back"), F.count(F.lit(1)).alias("in_degree"))
-    around = marked.join(reverse.select("node", "back"), "node", "left").select(
-        "node", F.array_distinct(F.concat("out", F.coalesce("back", F.array().cast("array<struct<m:bigint,fresh:boolean>>")), F.array(F.struct(F.col("node").alias("m"), F.lit(False).alias("fresh"))))).alias("all"))
-    if previous is not None:
-        around = around.filter(F.exists("all", lambda e: e["fresh"]))
-    members = around.select("node", F.explode("all").alias("e")).groupBy("node", "e.m").agg(F.max("e.fresh").alias("fresh"))
-    # what a member brings along: vector, worst similarity (below 0 if its list isn't full), low bits of its neighbours
-    low = F.transform("nbrs", lambda n: F.unhex(F.lpad(F.right(F.hex(n), F.lit(8)), 8, "0")))
-    filled = F.rpad(F.concat(*(F.coalesce(F.get(low, F.lit(i)), F.unhex(F.lit("00000000"))) for i in range(kept))), 4 * kept, F.unhex(F.lit("00")))
+    from_back = lambda new: F.coalesce(F.transform(F.filter("back", lambda e: e["new"] == F.lit(new)), lambda e: e["node"]), F.array().cast("array<bigint>"))
+    # each member once, the fresh ones first
+    fresh = F.array_union("fresh", from_back(True))
+    around = marked.join(reverse.select("node", "back"), "node", "left").join(blocks, "node").select("blk", fresh.alias("fresh"), F.concat("old", from_back(False), F.array("node")).alias("old"))
+    around = around.filter(F.size("fresh") > 0).select("blk", F.array_union("fresh", "old").alias("members"), F.size("fresh").alias("fresh"))
+    wanted = around.select("blk", F.explode("members").alias("m")).distinct()
+    # what a member brings along: vector, worst similarity (below 0 if its list isn't full), and its neighbours
     worst = F.when(F.size("nbrs") >= kept, F.array_min("sims")).otherwise(F.lit(-1.5)).cast("float")
-    payload = nodes.select("node", "vec").join(graph.select("node", worst.alias("worst"), filled.alias("known")), "node").join(reverse.select("node", "in_degree"), "node", "left")
+    payload = nodes.select("node", "vec").join(graph.select("node", worst.alias("worst"), F.col("nbrs").alias("known")), "node").join(reverse.select("node", "in_degree"), "node", "left")
     payload = payload.select(F.col("node").alias("m"), "vec", "worst", "known", (F.coalesce("in_degree", F.lit(0)) + REVERSE + 1).alias("n"))
-    carried = join_hot(members, payload, ["m"], "n", F.col("node"))
-    rows = carried.groupBy("node").agg(F.array_agg(F.struct("m", "vec", "worst", "known", "fresh")).alias("members"))
-    return rows.select("members").mapInArrow(_local_join(dim, kept), "node bigint, nbr bigint, sim float")
+    there = join_hot(wanted, payload, ["m"], "n", F.col("blk")).select(F.col("blk").alias("at"), "m", "vec", "worst", "known")
+    return around.groupBy("blk").cogroup(there.groupBy("at")).applyInArrow(_local_join(dim, kept), "node bigint, nbr bigint, sim float")
 
 
-def descend(work: Workspace, nodes: DataFrame, graph: DataFrame, dim: int, *, kept: int = KEPT, max_rounds: int = MAX_ROUNDS, enough: float = ENOUGH) -> DataFrame:
+def descend(work: Workspace, nodes: DataFrame, blocks: DataFrame, graph: DataFrame, dim: int, *, kept: int = KEPT, max_rounds: int = MAX_ROUNDS, enough: float = ENOUGH) -> DataFrame:
     """The graph after as many rounds as bring changes."""
     total, previous = nodes.count() * kept, None
     for number in range(max_rounds):
-        found = work.save(_round(nodes, graph, previous, number, dim, kept), f"found-{number}")
+        found = work.save(_round(nodes, blocks, graph, previous, number, dim, kept), f"found-{number}")
         changed = found.count()
         if not changed:
             break
@@ -239,6 +263,7 @@ def descend(work: Workspace, nodes: DataFrame, graph: DataFrame, dim: int, *, ke
         previous, graph = graph, following
         if changed < enough * total:
             break
+    work.drop(previous)
     return graph
 
 
@@ -247,7 +272,8 @@ def neighbour_graph(spark: SparkSession, vectors: DataFrame, dim: int, *, kept:
     work = Workspace(spark, "neighbours")
     nodes = work.save(quantised(vectors, dim), "nodes")
     graph = work.save(initial_graph(nodes, dim, kept=kept), "graph")
-    return nodes, descend(work, nodes, graph, dim, kept=kept)
+    blocks = work.save(placed(nodes), "blocks")
+    return nodes, descend(work, nodes, blocks, graph, dim, kept=kept)
 
 
 def similar_pairs(spark: SparkSession, keyed: DataFrame, dim: int, *, k: int = K, least: float = 0.75) -> DataFrame:
