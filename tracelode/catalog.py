@@ -76,8 +76,8 @@ WHERE prev IS NULL OR CASE WHEN h IS NOT NULL AND content_hash IS NOT NULL THEN
   ELSE len IS DISTINCT FROM l OR mtime_secs IS DISTINCT FROM ms OR mtime_nanos IS DISTINCT FROM mn OR change_token IS DISTINCT FROM ct END""",
 }
 
-from tracelode import catalog_corpus, catalog_search  # noqa: E402
+from tracelode import catalog_corpus, catalog_search, catalog_sources  # noqa: E402
 
-QUERIES = {**catalog_search.QUERIES, **catalog_corpus.QUERIES, **PROBLEM_QUERIES}
-SQL = {**catalog_search.SQL, **catalog_corpus.SQL, **PROBLEM_SQL}
+QUERIES = {**catalog_search.QUERIES, **catalog_corpus.QUERIES, **catalog_sources.QUERIES, **PROBLEM_QUERIES}
+SQL = {**catalog_search.SQL, **catalog_corpus.SQL, **catalog_sources.SQL, **PROBLEM_SQL}
 FLAGSHIP = "search_ranked"

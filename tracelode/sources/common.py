@@ -21,11 +21,12 @@ from tracelode.functions import text as fx
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(file, ordinal, value): the lines of JSON-lines files in order; invalid UTF-8 becomes U+FFFD; compressed files too.
 
-    Whole files are read, then split, since the order of lines is what the format is about; files of one session are small.
+    Large files are read in blocks by several tasks: a line's place is its block's first byte and its number in that task's scan.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    split = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ordinal", "value"))
-    return split.filter(F.trim("value") != "")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    placed = raw.select(F.col("_metadata.file_path").alias("file"), at.alias("ordinal"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return placed.filter(F.trim("value") != "")
 
 
 def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
@@ -49,7 +50,7 @@ def content_text(content: Column) -> Column:
     """The text of a message's content: a string, or the text blocks of an array joined by line breaks."""
     blocks = F.from_json(content, "array<struct<type:string,text:string>>")
     texts = F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "input_text", "output_text") & b["text"].isNotNull()), lambda b: b["text"])
-    return F.when(F.startswith(F.ltrim(content), F.lit("[")), F.array_join(texts, "\n")).otherwise(content)
+    return F.when(F.startswith(F.ltrim(content), F.lit("[")) & blocks.isNotNull(), F.array_join(texts, "\n")).otherwise(content)
 
 
 def typed(text: Column) -> Column:
@@ -71,9 +72,9 @@ def messages(records: DataFrame, agent: str) -> DataFrame:
     numbered = turns(records).filter("turn >= 0")
     at = F.struct("file", "ordinal")
     prompt = F.col("kind") == "prompt"
-    pieces = F.sort_array(F.collect_list(F.when((F.col("kind") == "reply") & (F.trim("text") != ""), F.struct("file", "ordinal", "text"))))
+    pieces = F.sort_array(F.collect_list(F.when((F.col("kind") == "reply") & F.col("text").rlike(r"[^\s\p{Z}]"), F.struct("file", "ordinal", "text"))))
     joined = F.array_join(F.transform(pieces, lambda p: p["text"]), "\n\n")
-    model = F.when((F.trim("model") != "") & (F.col("model") != "<synthetic>"), F.col("model"))
+    model = F.when(F.col("kind").isin("prompt", "reply") & (F.trim("model") != "") & (F.col("model") != "<synthetic>"), F.col("model"))
     out = numbered.groupBy("session", "turn").agg(
         F.min_by("text", F.when(prompt, at)).alias("text"), F.min_by("ts", F.when(prompt, at)).alias("ts"), F.min_by("project", at).alias("project"), joined.alias("reply"),
         F.min_by(model, F.when(model.isNotNull(), at)).alias("model"), F.min_by("who", F.when(prompt, at)).alias("who"), F.max(F.coalesce("side", F.lit(False))).alias("side"), F.min_by("parent", F.when(F.trim("parent") != "", at)).alias("parent"),

@@ -11,9 +11,9 @@ from tracelode.sources.common import field
 from tracelode.sources.jsonl import _record
 
 
-def gemini(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def gemini(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """A gemini store: messages of type user and gemini in their array's order; the project is always gemini."""
-    docs = common.documents(spark, path).withColumn("ok", common.is_json())
+    docs = common.documents(spark, path, glob).withColumn("ok", common.is_json())
     rows = docs.select("file", "ok", field("sessionId").alias("session"), F.posexplode_outer(F.from_json(field("messages"), "array<string>")).alias("ordinal", "value"))
     rows = rows.withColumn("session", F.coalesce("session", common.stem(F.col("file")))).withColumn("ordinal", F.coalesce("ordinal", F.lit(0))).withColumn("type", field("type")).withColumn("ts", fx.parse_timestamp(field("timestamp")))
     text = common.content_text(field("content"))

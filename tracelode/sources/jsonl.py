@@ -25,9 +25,9 @@ def _main_project(records: DataFrame) -> DataFrame:
     return records.join(best, "session", "left").withColumn("project", F.coalesce("main", F.lit("unknown"))).drop("main")
 
 
-def claude(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def claude(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(messages, events, intake) of a claude store: prompts are external user lines; side files (agent-*) are side sessions."""
-    raw = common.lines(spark, path).withColumn("ok", common.is_json())
+    raw = common.lines(spark, path, glob).withColumn("ok", common.is_json())
     side_file = common.stem(F.col("file")).startswith("agent-")
     inner = F.coalesce(field("sessionId"), common.stem(F.col("file")))
     base = raw.withColumn("side", side_file).withColumn("session", F.when(side_file, common.stem(F.col("file"))).otherwise(inner)).withColumn("parent", F.when(side_file, field("sessionId")).otherwise(""))
@@ -51,9 +51,9 @@ def claude(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFr
     return common.messages(records, "claude"), common.events(calls, results, "claude"), common.intake(records, "claude")
 
 
-def codex(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def codex(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame, DataFrame]:
     """A codex store: user text counts if a logged submission is a prefix of it; the model of a turn context holds onward."""
-    raw = common.lines(spark, path).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("pt", field("payload.type"))
+    raw = common.lines(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("pt", field("payload.type"))
     w = Window.partitionBy("file").orderBy("ordinal")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     meta = F.when(F.col("type") == "session_meta", field("payload.id"))
@@ -75,9 +75,9 @@ def codex(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFra
     return common.messages(records, "codex"), common.events(calls, results, "codex"), common.intake(records, "codex")
 
 
-def antigravity(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def antigravity(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame, DataFrame]:
     """An antigravity store: explicit user input unwrapped from its request tag; planner steps are replies and announce calls."""
-    raw = common.lines(spark, path).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("ts", fx.parse_timestamp(field("created_at")))
+    raw = common.lines(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("ts", fx.parse_timestamp(field("created_at")))
     base = raw.withColumn("session", F.element_at(F.split("file", "/"), -2))
     content = F.coalesce(field("content"), F.lit(""))
     inside = fx.stripped(F.regexp_extract(content, r"(?s)<USER_REQUEST>(.*?)</USER_REQUEST>", 1))
@@ -123,7 +123,7 @@ def kimi(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return common.messages(records, "kimi"), common.events(calls, results, "kimi"), common.intake(records, "kimi")
 
 
-def pi(spark: SparkSession, path: str, agent: str = "pi") -> tuple[DataFrame, DataFrame, DataFrame]:
+def pi(spark: SparkSession, path: str, agent: str = "pi", glob: str = "*.jsonl*") -> tuple[DataFrame, DataFrame, DataFrame]:
     """A pi or oh-my-pi store, a tree of records: the parent chain of the last record is the conversation, the rest is skipped.
 
     The chain is found for all files at once by the nested sets of the hierarchy operator: a record is on it if its range
@@ -131,7 +131,7 @@ def pi(spark: SparkSession, path: str, agent: str = "pi") -> tuple[DataFrame, Da
     """
     from tracelode.operators.hierarchy import nested_sets
 
-    raw = common.lines(spark, path, "*.jsonl*").withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("rid", field("id"))
+    raw = common.lines(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("rid", field("id"))
     head = raw.filter("type = 'session'").groupBy("file").agg(F.first(field("id")).alias("session"), F.first(field("cwd")).alias("cwd"))
     body = raw.filter("type <> 'session' or not ok").join(head, "file", "left").withColumn("session", F.coalesce("session", common.stem(F.col("file"))))
     key = lambda c: F.concat("file", F.lit("\n"), c)
@@ -151,6 +151,6 @@ def pi(spark: SparkSession, path: str, agent: str = "pi") -> tuple[DataFrame, Da
     blocks = F.from_json(field("message.content"), "array<struct<type:string,id:string,name:string,arguments:string>>")
     used = live.filter("role = 'assistant'").select("session", "file", "ordinal", "ts", F.explode(blocks).alias("b")).filter("b.type = 'toolCall'").select("session", "file", "ordinal", "ts", F.lit("tool").alias("kind"), F.col("b.name").alias("name"), fx.summarized_input(F.col("b.arguments")).alias("input"), F.col("b.id").alias("call_id"), F.lit("").alias("child_session"))
     results = live.filter("role = 'toolResult'").select("session", "file", "ordinal", field("message.toolCallId").alias("call_id"), F.col("text").alias("output"), (F.coalesce(field("message.isError"), F.lit("false")) != "true").alias("ok"))
-    shell = live.filter("role = 'bashExecution'").select("session", "file", "ordinal", "ts", F.lit("tool").alias("kind"), F.lit("bash").alias("name"), field("message.command").alias("input"), F.concat(F.lit("sh"), "ordinal").alias("call_id"), F.lit("").alias("child_session"), field("message.output").alias("output"),
+    shell = live.filter("role = 'bashExecution'").select("session", "file", "ordinal", "ts", F.lit("tool").alias("kind"), F.lit("bash").alias("name"), field("message.command").alias("input"), F.concat(F.lit("sh"), F.hex(F.xxhash64("file", "ordinal"))).alias("call_id"), F.lit("").alias("child_session"), field("message.output").alias("output"),
                                                             ((field("message.exitCode") == "0") & (F.coalesce(field("message.cancelled"), F.lit("false")) != "true")).alias("ok"))
     return common.messages(records, agent), common.events(used, results, agent).unionByName(common.events(shell, None, agent)), common.intake(records, agent)
