@@ -28,6 +28,7 @@ K = 10
 KEPT = 18  # neighbours kept in the graph; more than K, so that dense places are well linked
 TABLES, BLOCK, BITS = 8, 256, 62
 REVERSE = 8
+HOT = 200_000  # neighbourhoods that may want one vector before it is salted
 PLACE = 1024  # nodes whose neighbourhoods are compared in one task at once
 MAX_ROUNDS, ENOUGH = 30, 0.001  # a round that proposes fewer than this share of all neighbours is the last; the rounds are a safeguard
 SEED = 20240201
@@ -71,6 +72,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 EDGES = "node bigint, nbrs array<bigint>, sims array<float>"
+NONE = "array<bigint>"
 
 
 def _lists(nodes: np.ndarray, nbrs: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
@@ -222,49 +224,63 @@ def _local_join(dim: int, kept: int):
     return checked
 
 
-def _round(nodes: DataFrame, blocks: DataFrame, graph: DataFrame, previous: DataFrame | None, number: int, dim: int, kept: int) -> DataFrame:
-    """Proposals (node, nbr, sim) of one local join.  ``previous`` is the graph one round ago: only neighbourhoods with a
-    neighbour that wasn't there yet are worth comparing with that neighbour.
+def _hoods(graph: DataFrame, number: int, kept: int) -> DataFrame:
+    """(node, blk, nbrs, worst, fresh, old, in_degree): each node's list and its neighbourhood, the members that are fresh and the
+    others.  Reverse neighbours enter by a fixed number of samples with replacement: the one with the lowest hash, for some hash
+    functions; an aggregate that combines before it shuffles, so that a hub's followers never meet."""
+    edges = graph.select("node", F.size("fresh").alias("n"), F.posexplode(F.concat("fresh", F.array_except("nbrs", "fresh"))).alias("at", "m")).select("node", "m", (F.col("at") < F.col("n")).alias("new"))
+    draw = [F.xxhash64("node", F.lit(number * 100 + i)) for i in range(REVERSE)]
+    back = edges.groupBy(F.col("m").alias("to")).agg(F.count(F.lit(1)).alias("in_degree"), *(F.min_by("node", h).alias(f"b{i}") for i, h in enumerate(draw)), *(F.min_by("new", h).alias(f"f{i}") for i, h in enumerate(draw)))
+    drawn = lambda new: F.array_compact(F.array(*(F.when(F.col(f"f{i}") == F.lit(new), F.col(f"b{i}")) for i in range(REVERSE))))
+    back = back.select("to", "in_degree", drawn(True).alias("back_new"), drawn(False).alias("back_old"))
+    none = F.array().cast(NONE)
+    worst = F.when(F.size("nbrs") >= kept, F.element_at("sims", -1)).otherwise(F.lit(-1.5)).cast("float")  # below all if the list isn't full
+    fresh = F.array_union("fresh", F.coalesce("back_new", none))
+    old = F.array_except(F.concat("nbrs", F.coalesce("back_old", none), F.array("node")), fresh)
+    return graph.join(back, graph["node"] == back["to"], "left").select("node", "blk", "nbrs", worst.alias("worst"), fresh.alias("fresh"), old.alias("old"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+
+
+def _round(nodes: DataFrame, hoods: DataFrame, dim: int, kept: int) -> DataFrame:
+    """Proposals (node, nbr, sim) of one local join: only neighbourhoods with a fresh member are worth comparing with that member.
 
     Neighbourhoods are put together by ids alone.  Those of nodes that lie together are compared in one task, to which each
     member's vector travels once.
     """
-    before = F.array().cast("array<bigint>") if previous is None else F.coalesce("before", F.array().cast("array<bigint>"))
-    known = graph if previous is None else graph.join(previous.select("node", F.col("nbrs").alias("before")), "node", "left")
-    marked = known.select("node", F.array_except("nbrs", before).alias("fresh"), F.array_intersect("nbrs", before).alias("old"))
-    edges = marked.select("node", F.size("fresh").alias("n"), F.posexplode(F.concat("fresh", "old")).alias("at", "m")).select("node", "m", (F.col("at") < F.col("n")).alias("new"))
-    # samples with replacement of the reverse neighbours: the one with the lowest hash, for some hash functions
-    samples = [F.min_by(F.struct("node", "new"), F.xxhash64("node", F.lit(number * 100 + i))).alias(f"s{i}") for i in range(REVERSE)]
-    reverse = edges.groupBy(F.col("m").alias("node")).agg(F.array(*samples).alias("back"), F.count(F.lit(1)).alias("in_degree"))
-    from_back = lambda new: F.coalesce(F.transform(F.filter("back", lambda e: e["new"] == F.lit(new)), lambda e: e["node"]), F.array().cast("array<bigint>"))
-    # each member once, the fresh ones first
-    fresh = F.array_union("fresh", from_back(True))
-    around = marked.join(reverse.select("node", "back"), "node", "left").join(blocks, "node").select("blk", fresh.alias("fresh"), F.concat("old", from_back(False), F.array("node")).alias("old"))
-    around = around.filter(F.size("fresh") > 0).select("blk", F.array_union("fresh", "old").alias("members"), F.size("fresh").alias("fresh"))
+    around = hoods.filter(F.size("fresh") > 0).select("blk", F.concat("fresh", "old").alias("members"), F.size("fresh").alias("fresh"))
     wanted = around.select("blk", F.explode("members").alias("m")).distinct()
-    # what a member brings along: vector, worst similarity (below 0 if its list isn't full), and its neighbours
-    worst = F.when(F.size("nbrs") >= kept, F.array_min("sims")).otherwise(F.lit(-1.5)).cast("float")
-    payload = nodes.select("node", "vec").join(graph.select("node", worst.alias("worst"), F.col("nbrs").alias("known")), "node").join(reverse.select("node", "in_degree"), "node", "left")
-    payload = payload.select(F.col("node").alias("m"), "vec", "worst", "known", (F.coalesce("in_degree", F.lit(0)) + REVERSE + 1).alias("n"))
-    there = join_hot(wanted, payload, ["m"], "n", F.col("blk")).select(F.col("blk").alias("at"), "m", "vec", "worst", "known")
+    payload = nodes.select("node", "vec").join(hoods.select("node", "worst", F.col("nbrs").alias("known"), (F.col("in_degree") + REVERSE + 1).alias("n")), "node").withColumnRenamed("node", "m")
+    hottest = hoods.agg(F.max("in_degree")).first()[0] or 0
+    there = join_hot(wanted, payload, ["m"], "n", F.col("blk")) if hottest > HOT else wanted.join(payload, "m")
+    there = there.select(F.col("blk").alias("at"), "m", "vec", "worst", "known")
     return around.groupBy("blk").cogroup(there.groupBy("at")).applyInArrow(_local_join(dim, kept), "node bigint, nbr bigint, sim float")
 
 
+def _merged(graph: DataFrame, found: DataFrame, kept: int) -> DataFrame:
+    """The graph with what was found: each node's best, and in ``fresh`` those that are new."""
+    once = found.groupBy("node", "nbr").agg(F.max("sim").alias("sim")).groupBy(F.col("node").alias("to")).agg(F.array_agg(F.struct((-F.col("sim")).alias("far"), "nbr", F.lit(True).alias("new"))).alias("more"))
+    have = F.transform(F.arrays_zip("nbrs", "sims"), lambda e: F.struct((-e["sims"]).alias("far"), e["nbrs"].alias("nbr"), F.lit(False).alias("new")))
+    top = F.when(F.col("more").isNull(), have).otherwise(F.slice(F.array_sort(F.concat(have, "more")), 1, kept))
+    both = graph.join(once, graph["node"] == once["to"], "left").select("node", "blk", top.alias("top"))
+    return both.select("node", "blk", F.col("top.nbr").alias("nbrs"), F.transform("top.far", lambda f: -f).alias("sims"), F.transform(F.filter("top", lambda e: e["new"]), lambda e: e["nbr"]).alias("fresh"))
+
+
 def descend(work: Workspace, nodes: DataFrame, blocks: DataFrame, graph: DataFrame, dim: int, *, kept: int = KEPT, max_rounds: int = MAX_ROUNDS, enough: float = ENOUGH) -> DataFrame:
     """The graph after as many rounds as bring changes."""
-    total, previous = nodes.count() * kept, None
+    total, first = nodes.count() * kept, graph
+    graph = work.save(graph.join(blocks, "node").select("node", "blk", "nbrs", "sims", F.col("nbrs").alias("fresh")), "placed")
+    work.drop(first)
     for number in range(max_rounds):
-        found = work.save(_round(nodes, blocks, graph, previous, number, dim, kept), f"found-{number}")
+        hoods = work.save(_hoods(graph, number, kept), f"hoods-{number}")
+        found = work.save(_round(nodes, hoods, dim, kept), f"found-{number}")
         changed = found.count()
-        if not changed:
-            break
-        following = work.save(_best(_exploded(graph).unionByName(found), kept), f"graph-{number}")
-        work.drop(found, previous)
-        previous, graph = graph, following
-        if changed < enough * total:
+        if changed:
+            following = work.save(_merged(graph, found, kept), f"graph-{number}")
+            work.drop(graph)
+            graph = following
+        work.drop(hoods, found)
+        if changed < enough * total or not changed:
             break
-    work.drop(previous)
-    return graph
+    return graph.select("node", "nbrs", "sims")
 
 
 def neighbour_graph(spark: SparkSession, vectors: DataFrame, dim: int, *, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
