@@ -171,9 +171,9 @@ def _says(words: Column, pattern: str | None, unless: str | None = None) -> Colu
     return F.lit(True) if not pattern else (F.regexp_replace(text, unless, " ") if unless else text).rlike(pattern)
 
 
-def refusal_templates(rows: DataFrame, work: Workspace, *, wordings: str | None = WORDINGS, declining: str | None = DECLINING) -> tuple[DataFrame, DataFrame]:
-    """(templates, members) of ``openings``: (leader, rows, over, ending, worded, declines, refusal) of each component that recurs over
-    prompts and opens replies only, and (opening, leader, words, n) of its openings."""
+def refusal_templates(rows: DataFrame, work: Workspace, *, wordings: str | None = WORDINGS, declining: str | None = DECLINING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(templates, members, recurring) of ``openings``: (leader, rows, over, ending, worded, declines, refusal) of each component that recurs over
+    prompts and opens replies only, (opening, leader, words, n) of its openings, and (opening) of all that recur, wherever."""
     distinct = rows.groupBy("opening").agg(F.any_value("words").alias("words"), F.any_value("start").alias("start"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("rest") <= 1).alias("ends"), F.hll_sketch_agg("prompt").alias("prompts"))
     distinct = work.save(distinct, "distinct")
     said = rows.select(F.explode("elsewhere").alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("said"))
@@ -186,14 +186,15 @@ def refusal_templates(rows: DataFrame, work: Workspace, *, wordings: str | None
     templates = templates.filter(F.col("over") >= MIN_PROMPTS)
     known = F.lit(False) if not wordings else F.col("worded") >= 0.5
     templates = templates.withColumn("refusal", (F.col("ending") >= ENDING) & (F.col("declines") >= 0.5) | known)
-    return work.save(templates, "templates"), led.select("opening", "leader", "words", "n")
+    recurring = distinct.filter(F.hll_sketch_estimate("prompts") >= MIN_PROMPTS).select("opening")
+    return work.save(templates, "templates"), led.select("opening", "leader", "words", "n"), recurring
 
 
 def refusals(replies: DataFrame, work: Workspace, *, cues: str | None = REFUSAL_CUES, wordings: str | None = WORDINGS, declining: str | None = DECLINING) -> DataFrame:
     """(rm_id, why) of the replies that decline, why being template, holds (a template's words behind others) or cue; ``replies`` has
     rm_id, text and reply.  Without ``cues`` recurrence alone finds them, without ``declining`` their form alone."""
     rows = work.save(openings(replies), "openings")
-    templates, members = refusal_templates(rows, work, wordings=wordings, declining=declining)
+    templates, members, recurring = refusal_templates(rows, work, wordings=wordings, declining=declining)
     known = members.join(templates.select("leader", "refusal"), "leader")
     declined = known.filter("refusal").select("opening", "leader", "words", "n")
     # an opening that holds the shingles of a template's leader, 8 in 10 or more: one opening a component keeps the join small
@@ -206,8 +207,10 @@ def refusals(replies: DataFrame, work: Workspace, *, cues: str | None = REFUSAL_
     found = join_hot(rows.select("rm_id", "opening"), judged.withColumnRenamed("n", "rows"), ["opening"], "rows", F.xxhash64("rm_id")).select("rm_id", "why")
     if not cues:
         return found
-    alone = replies.filter(folded(opening_text(F.col("reply"))).rlike(cues)).select("rm_id")
-    alone = rows.select("rm_id", "opening").join(alone, "rm_id", "left_semi").join(known.select("opening"), "opening", "left_anti").select("rm_id", F.lit("cue").alias("why"))
+    # what recurs is judged by its recurrence; the cues' patterns run over the few other rows, hence the condition on both sides
+    lone = rows.select("rm_id", "opening").join(known.select("opening").unionByName(recurring), "opening", "left_anti").select("rm_id", F.lit(True).alias("lone"))
+    said = F.when(F.col("lone"), folded(opening_text(F.col("reply"))).rlike(cues)).otherwise(False)
+    alone = replies.select("rm_id", "reply").join(lone, "rm_id").filter(said).select("rm_id", F.lit("cue").alias("why"))
     return found.unionByName(alone).groupBy("rm_id").agg(F.max("why").alias("why"))
 
 
