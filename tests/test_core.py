@@ -347,6 +347,22 @@ def test_all_descendants(spark):
     assert "level" in plan.split("Join Inner")[1].splitlines()[0]
 
 
+def test_descendants_of_parents_outside_the_table(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tracelode import catalog
+
+    claims = [("a", "gone"), ("b", "a"), ("c", "a"), ("d", "other"), ("e", None), ("f", "e"), ("x", "y"), ("y", "x"), ("z", "x")]
+    rows = [(i, s, p, 0) for i, (s, p) in enumerate(claims)]
+    spark.createDataFrame(rows, "rm_id bigint, session string, parent string, turn int").write.parquet(f"{tmp_path}/raw_messages.parquet")
+    spark.createDataFrame([(s,) for s, _ in claims], "session string").write.parquet(f"{tmp_path}/session_family.parquet")
+    con = duckdb.connect()
+    for name in ("raw_messages", "session_family"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["p5_descendants"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.SQL["p5_descendants"]).fetchall())
+    assert [g for g in got if g[0] in ("gone", "other")] == [("gone", "a", 1), ("gone", "b", 2), ("gone", "c", 2), ("other", "d", 1)]
+
+
 def test_chats_about_without_a_cap(spark):
     from tracelode.operators import context
 

@@ -28,9 +28,9 @@ def p5_paths(spark, sf_dir):
 
 
 def p5_descendants(spark, sf_dir):
-    """Every session with each of its descendants and their distance, by their nested-set ranges; none in cycles."""
+    """Every session, and every parent outside the table, with each descendant and its distance, by their nested-set ranges; none in cycles."""
     sets = Workspace(spark, "family").save(_family_sets(spark, sf_dir), "sets")
-    return hierarchy.descendants(sets, sets.select("node")).select("ancestor", F.col("node").alias("session"), "distance")
+    return hierarchy.descendants(sets, hierarchy.named(sets)).select("ancestor", F.col("node").alias("session"), "distance")
 
 
 def p6_found(spark, sf_dir):

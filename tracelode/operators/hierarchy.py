@@ -133,7 +133,8 @@ def nested_sets(spark: SparkSession, nodes: DataFrame, *, keep_missing_parent: b
 def descendants(sets: DataFrame, of: DataFrame) -> DataFrame:
     """(ancestor, node, distance) for the nodes in ``of``: a range join on the nested sets within each root.
 
-    A range is cut into its largest aligned blocks of 2^level numbers, at most two a level, and each number knows its block
+    A root without a row in ``sets`` (a parent that is not in the table) may stand in ``of`` too: all nodes of that root are below it,
+    at their depth.  A range is cut into its largest aligned blocks of 2^level numbers, at most two a level, and each number knows its block
     of every level: an equality join that meets descendants only, also where one tree holds most of the rows.
     """
     tree = sets.filter(~F.col("cyclic"))
@@ -145,12 +146,21 @@ def descendants(sets: DataFrame, of: DataFrame) -> DataFrame:
     blocks = F.array(F.when(F.col("first") % 2 == 1, F.col("first")), F.when(F.col("end") % 2 == 1, F.col("end") - 1))
     heads = heads.select("ancestor", "root", "d", "level", F.explode(blocks).alias("block")).filter("block is not null")
     nodes = tree.select("node", "root", "depth", "lft", levels).withColumn("block", F.expr("shiftright(lft, level)")).drop("lft")
-    return heads.join(nodes, ["root", "level", "block"]).select("ancestor", "node", (F.col("depth") - F.col("d")).alias("distance"))
+    found = heads.join(nodes, ["root", "level", "block"]).select("ancestor", "node", (F.col("depth") - F.col("d")).alias("distance"))
+    outside = of.select(F.col("node").alias("root")).distinct().join(sets.select(F.col("node").alias("root")), "root", "left_anti")
+    outside = tree.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(outside, "root", "left_semi")
+    below = join_hot(tree.select("root", "node", "depth"), outside, ["root"], "n", F.xxhash64("node"), rows_per_salt=HOT)
+    return found.unionByName(below.select(F.col("root").alias("ancestor"), "node", F.col("depth").alias("distance")))
+
+
+def named(sets: DataFrame) -> DataFrame:
+    """(node) of all that ``sets`` names: the nodes, and the roots of trees also where these have no row."""
+    return sets.select("node").unionByName(sets.filter(~F.col("cyclic")).select(F.col("root").alias("node"))).distinct()
 
 
 def ancestors(sets: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(node, ancestor, distance) for the nodes in ``of`` (all by default): the nodes whose range holds theirs."""
-    pairs = descendants(sets, sets.select("node"))
+    """(node, ancestor, distance) for the nodes in ``of`` (all by default): the nodes whose range holds theirs, and roots without a row."""
+    pairs = descendants(sets, named(sets))
     found = pairs if of is None else pairs.join(of.select("node").distinct(), "node", "left_semi")
     return found.select("node", "ancestor", "distance")
 
