@@ -296,6 +296,35 @@ def test_mislabelled(spark):
     assert language.mislabelled(language.document_languages(spark, df.filter("false"))).count() == 0
 
 
+def test_every_row_trains_the_model(spark):
+    names = ["".join("bcdfghklmn"[int(d)] for d in f"{i:05d}") for i in range(11_000)]
+    rows = spark.range(2 * len(names)).withColumn("text", F.format_string("there is no reason why %s should not have this", F.element_at(F.split(F.lit(" ".join(names)), " "), (F.col("id") % len(names) + 1).cast("int"))))
+    model = language.train(spark, rows, "text", "id")
+    assert sum(f"^{n}$" in model.at for n in names) == len(names)  # each stands in two rows, which a word must to be kept
+    again = language.train(spark, rows.repartition(7), "text", "id")
+    assert model.at == again.at and (model.logs == again.logs).all()
+
+
+def test_counts_do_not_depend_on_what_a_process_holds(monkeypatch):
+    import pandas as pd
+
+    texts = [t for ts in SENTENCES.values() for t in ts]
+    said = ["\n".join(" ".join(w) for w in language.sentences(t)) for t in [*texts, texts[0] + "\n" + texts[3]]]
+    batches = [pd.DataFrame({"said": said[i : i + 3]}) for i in range(0, len(said), 3)]
+    label = lambda parts: [language.by_function_words(words) for words in parts]
+    want: dict = {}
+    for line in "\n".join(said).split("\n"):
+        for w in line.split(" "):
+            for g in language.grams(w):
+                key = g, language.by_function_words(line.split(" "))
+                want[key] = want.get(key, 0) + 1
+    want = {k: n for k, n in want.items() if k[1] is not None}
+    for held in (200_000, 20):
+        monkeypatch.setattr(language, "_KNOWN", held)
+        got = pd.concat(language._count(iter(batches), label)).groupby(["gram", "lang"])["n"].sum()
+        assert got.to_dict() == want
+
+
 # ---------------------------------------------------------------- truncation and pairs
 
 RAW = "rm_id bigint, agent string, session string, turn int, text string, reply string, reply_chars bigint"

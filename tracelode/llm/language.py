@@ -1,8 +1,9 @@
 """Languages of texts: segmentation, n-gram models trained by expectation-maximisation, mixtures per document.
 
-``train`` fits one model a language on a bounded sample of sentences: function words give the first labels (labels of
+``train`` fits one model a language on the sentences of all rows: function words give the first labels (labels of
 the rows are too often wrong to be trusted), a naive Bayes model over character n-grams and words is fitted on them,
-relabels all sentences of the sample, and is fitted again.  ``Mixture`` then estimates a document's language
+relabels all sentences, and is fitted again.  Texts are split into sentences once, in a written table that the rounds of the
+fit and the detection read.  ``Mixture`` then estimates a document's language
 proportions by expectation-maximisation over its sentences, and selects the set of languages by penalised likelihood.
 """
 
@@ -17,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.plans.workspace import Workspace
+
 LANGS = ("en", "de", "fr", "es", "pt", "it", "ru")
 
 # Frequent function words, without accents and case.
@@ -41,7 +44,6 @@ LABELS = {
 }
 _BY_LABEL = {name: lang for lang, names in LABELS.items() for name in names.split()}
 
-SAMPLE_ROWS = 20_000
 MIN_COUNT = 2
 MAX_GRAMS = 60_000  # per language, so the model has a fixed size
 MIN_WORDS = 6
@@ -223,48 +225,84 @@ class Model:
         return [int(k) if lead >= margin else None for k, lead in zip(s.argmax(1), two[:, 1] - two[:, 0])]
 
 
-def _counts(spark: SparkSession, texts: DataFrame, label) -> dict[str, list[int]]:
-    """n-gram counts by language over sentences labelled by ``label``; the result is bounded by MAX_GRAMS a language."""
+PLACED = "starts array<int>, ends array<int>, said string"
 
-    def count(batches):
-        import pandas as pd
 
-        total = [Counter() for _ in LANGS]
+def placed(spark: SparkSession, rows: DataFrame, text_col: str, keep: str = "") -> DataFrame:
+    """The rows with a natural-language sentence, written once: the columns ``keep`` (name and type) with ``PLACED`` in the text's place.
+
+    ``said`` has a sentence a line, its folded words apart by spaces; words are letters and apostrophes, so both can be split again.
+    """
+    names = [c.split()[0] for c in keep.split(",") if c.strip()]
+
+    def split(batches):
         for pdf in batches:
-            parts = [words for text in pdf["text"] for words in sentences(text)]
-            for words, k in zip(parts, label(parts)):
-                if k is not None:
-                    total[k].update(words)
-        rows = []
-        for k, by_word in enumerate(total):
-            by_gram: Counter = Counter()
-            for w, n in by_word.items():
-                for g in grams(w):
-                    by_gram[g] += n
-            rows += [(g, k, n) for g, n in by_gram.items()]
-        yield pd.DataFrame(rows, columns=["gram", "lang", "n"])
-
-    counted = texts.mapInPandas(count, "gram string, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+            found = [placed_sentences(t) for t in pdf.pop("text")]
+            pdf["starts"], pdf["ends"] = [[x[0] for x in parts] for parts in found], [[x[1] for x in parts] for parts in found]
+            pdf["said"] = ["\n".join(" ".join(x[2]) for x in parts) for parts in found]
+            yield pdf[pdf["said"] != ""]
+
+    texts = rows.select(*names, F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    return Workspace(spark, "sentences").save(texts.mapInPandas(split, f"{keep}, {PLACED}" if keep else PLACED), "placed")
+
+
+def split_said(said: str) -> list[list[str]]:
+    """The sentences' words of a row of ``placed``."""
+    return [line.split(" ") for line in said.split("\n")]
+
+
+def _grams_of(total: list[Counter]):
+    """One frame (gram, lang, n) a language from its counts of words."""
+    import pandas as pd
+
+    for k, by_word in enumerate(total):
+        by_gram: Counter = Counter()
+        for w, n in by_word.items():
+            for g in grams(w):
+                by_gram[g] += n
+        yield pd.DataFrame([(g, k, n) for g, n in by_gram.items()], columns=["gram", "lang", "n"])
+
+
+def _count(batches, label):
+    """Frames of n-gram counts by language over all sentences; those of a gram are partial and add up."""
+    total = [Counter() for _ in LANGS]
+    for pdf in batches:
+        met = Counter(line for said in pdf["said"] for line in said.split("\n"))  # a sentence that recurs is labelled once
+        parts = [line.split(" ") for line in met]
+        for words, n, k in zip(parts, met.values(), label(parts)):
+            if k is not None:
+                by_word = total[k]
+                for w in words:
+                    by_word[w] += n
+        if sum(map(len, total)) > _KNOWN:  # what a process holds is bounded, what it counts is not
+            yield from _grams_of(total)
+            total = [Counter() for _ in LANGS]
+    yield from _grams_of(total)
+
+
+def _counts(said: DataFrame, label) -> dict[str, list[int]]:
+    """n-gram counts by language over all sentences, labelled by ``label``; the model's size is bounded by MAX_GRAMS a language."""
+    counted = said.mapInPandas(lambda batches: _count(batches, label), "gram string, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     wide = counted.groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LANGS))), F.sum("n").alias("n"))
     top = wide.filter(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS * len(LANGS))
     return {r[0]: list(r[1 : 1 + len(LANGS)]) for r in top.collect()}
 
 
-def train(spark: SparkSession, texts: DataFrame, text_col: str, id_col: str, *, rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
-    """A model from at most ``rows`` texts, those with the lowest hash of their id (the same at every run)."""
-    sample = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    # the bound is found on the hashes alone, so that no task gathers texts; a table within the bound is taken whole
-    at = F.xxhash64("id")
-    lowest = sample.select(at.alias("h")).orderBy("h").limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).first()
-    sample = sample.filter(at < lowest["h"]) if lowest["n"] > rows else sample
-    sample = sample.select("text").repartition(max(2, spark.sparkContext.defaultParallelism))
-    model = Model.fit(_counts(spark, sample, lambda parts: [by_function_words(words) for words in parts]))
+def fit(spark: SparkSession, sentences_: DataFrame, *, rounds: int = 2) -> Model:
+    """A model from all sentences of ``placed``."""
+    said = sentences_.select("said")
+    model = Model.fit(_counts(said, lambda parts: [by_function_words(words) for words in parts]))
     for _ in range(rounds - 1):
         sent = spark.sparkContext.broadcast(model)  # of fixed size
-        model = Model.fit(_counts(spark, sample, lambda parts, sent=sent: sent.value.best(parts)))
+        model = Model.fit(_counts(said, lambda parts, sent=sent: sent.value.best(parts)))
     return model
 
 
+def train(spark: SparkSession, texts: DataFrame, text_col: str, id_col: str | None = None, *, rounds: int = 2) -> Model:
+    """A model from all ``texts``, the same at every run; ``id_col`` decides nothing, as every row counts."""
+    return fit(spark, placed(spark, texts, text_col), rounds=rounds)
+
+
 def price(sentences_: int, penalty: float = PENALTY) -> float:
     """What a further language must gain in a document of so many sentences."""
     return penalty + 0.5 * math.log(max(sentences_, 2))
@@ -348,10 +386,14 @@ def segments_of(model: Model, texts: list[str | None], *, min_words: int = MIN_W
     ``best`` is the highest of a sentence of ``min_words`` or more that reaches the demanded confidence, and ``sure`` such
     sentences' number of words, both 0 without one.  Sentences under three words follow the run before them, or the first.
     """
-    placed = [placed_sentences(t) for t in texts]
-    long = [[w for _, _, w in parts if len(w) >= 3] for parts in placed]
+    return segments_of_sentences(model, [placed_sentences(t) for t in texts], min_words=min_words, confidence=confidence)
+
+
+def segments_of_sentences(model: Model, docs: list[list[tuple[int, int, list[str]]]], *, min_words: int = MIN_WORDS, confidence: float = 0.9) -> list[list[tuple[str, int, int, float, int, float, int]]]:
+    """``segments_of`` texts given as their ``placed_sentences``."""
+    long = [[w for _, _, w in parts if len(w) >= 3] for parts in docs]
     scored = iter(_assigned(model, [doc for doc in long if doc]))
-    return [_runs(parts, next(scored), min_words, confidence) if doc else [] for parts, doc in zip(placed, long)]
+    return [_runs(parts, next(scored), min_words, confidence) if doc else [] for parts, doc in zip(docs, long)]
 
 
 def _runs(parts: list[tuple[int, int, list[str]]], assigned: list[tuple[int, float]], min_words: int, confidence: float) -> list[tuple[str, int, int, float, int, float, int]]:
@@ -393,30 +435,31 @@ def languages(model: Model, text: str | None, *, min_words: int = MIN_WORDS, con
 SEGMENTS = "doc_id bigint, label string, seg int, lang string, start int, end int, confidence double, words int, best double, sure int"
 
 
-def document_segments(spark: SparkSession, docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def document_segments(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The ``segments`` of every document, numbered by ``seg`` from 0; ``label`` is the document's normal label.
 
     Defined results: null and empty texts, and texts without a sentence of three words, have no row; a null, empty or
     unknown label gives a null ``label``; repeated documents give repeated rows; extra columns are ignored.
     """
-    sent = spark.sparkContext.broadcast(train(spark, docs, "text", "doc_id", rows=sample_rows))
+    parts = placed(spark, docs, "text", "doc_id bigint, lang string")
+    sent = spark.sparkContext.broadcast(fit(spark, parts))
 
     def detect(batches):
         import pandas as pd
 
         model = sent.value
         for pdf in batches:
-            found = segments_of(model, list(pdf["text"]))
+            found = segments_of_sentences(model, [list(zip(*row)) for row in zip(pdf["starts"], pdf["ends"], map(split_said, pdf["said"]))])
             rows = [(i, label_of(lab), k, lang, start, end, round(c, 6), n, round(best, 6), sure) for i, lab, runs in zip(pdf["doc_id"], pdf["lang"], found)
                     for k, (lang, start, end, c, n, best, sure) in enumerate(runs)]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "seg", "lang", "start", "end", "confidence", "words", "best", "sure"])
 
-    return docs.filter(F.length("text") > 0).select("doc_id", "text", "lang").mapInPandas(detect, SEGMENTS)
+    return parts.mapInPandas(detect, SEGMENTS)
 
 
-def document_languages(spark: SparkSession, docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def document_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The segments that hold a sure sentence of six words or more: what ``mislabelled`` judges documents by."""
-    return document_segments(spark, docs, sample_rows=sample_rows).filter("sure > 0").select("doc_id", "label", "lang", "confidence", "words")
+    return document_segments(spark, docs).filter("sure > 0").select("doc_id", "label", "lang", "confidence", "words")
 
 
 def mislabelled(found: DataFrame) -> DataFrame:

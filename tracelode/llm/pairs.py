@@ -230,9 +230,9 @@ def main_languages(model: language.Model, texts: list[str | None], min_words: in
     return [int(w.argmax()) if w.any() else None for w in weight]
 
 
-def foreign_replies(spark: SparkSession, rows: DataFrame, *, sample_rows: int = language.SAMPLE_ROWS) -> DataFrame:
+def foreign_replies(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(rm_id) of replies in another language than their prompt's and those it names."""
-    sent = spark.sparkContext.broadcast(language.train(spark, rows.select("rm_id", F.concat_ws("\n", "text", "reply").alias("both")), "both", "rm_id", rows=sample_rows))
+    sent = spark.sparkContext.broadcast(language.train(spark, rows.select(F.concat_ws("\n", "text", "reply").alias("both")), "both"))
 
     def compare(batches):
         import pandas as pd
