@@ -290,6 +290,30 @@ def test_corpus(spark):
     assert corpus.refreshed(rows, rows.filter("id <> 1")).count() == 6
 
 
+def test_models_of_long_sessions(spark):
+    """Against plain Python; no frame ends at the last row and begins elsewhere than at the first, as its cost is quadratic in a session."""
+    rng = random.Random(7)
+    given = [(rng.choice([None, "a", "b"]), rng.randrange(40), i // 2, rng.choice([None, "", "<synthetic>", " x", "y", "z"] if i % 9 == 0 else [None, ""])) for i in range(600)]
+    given += [("one", i, i, "x" if i == 5 else "") for i in range(10)] + [("none", i, i, " ") for i in range(3)]
+    rng.shuffle(given)
+    rows = spark.createDataFrame(given, "session string, turn int, id bigint, model string")
+    out = corpus.attributed_models(rows)
+    plan = out._jdf.queryExecution().analyzed().toString().replace(" ", "")
+    assert "unboundedfollowing$()" not in plan.replace("unboundedpreceding$(),unboundedfollowing$()", "")
+    want = []
+    for session in {g[0] for g in given}:
+        known = lambda m: m.strip() if m and m.strip() and not m.strip().startswith("<") else None
+        talk = sorted(((t, i, known(m)) for s, t, i, m in given if s == session), key=lambda r: (r[0], r[1], r[2] or ""))
+        models = {m for *_, m in talk if m}
+        for k, (t, i, m) in enumerate(talk):
+            before, after = next((x for *_, x in reversed(talk[:k]) if x), None), next((x for *_, x in talk[k + 1:] if x), None)
+            agree = before is None or after is None or before == after
+            source = "explicit" if m else "unknown" if not models else "session" if len(models) == 1 else "temporal_session" if agree else "ambiguous_session"
+            want.append((session or "", t, i, m or (min(models) if source == "session" else (before or after) if source == "temporal_session" else ""), source))
+    assert sorted((r.session or "", r.turn, r.id, r.model, r.model_source) for r in out.collect()) == sorted(want)
+    assert {w[-1] for w in want} == {"explicit", "unknown", "session", "temporal_session", "ambiguous_session"}
+
+
 def test_context(spark):
     marks = spark.createDataFrame([("s", 10, 0), ("s", 20, 1), ("s", 20, 2), ("s", 30, 3)], "session string, ts bigint, turn int")
     events = spark.createDataFrame([("s", 5, 1), ("s", 10, 2), ("s", 20, 3), ("s", 25, 4), ("s", 0, 5), ("s", None, 6), ("lost", 9, 7)], "session string, ts bigint, event_id bigint")

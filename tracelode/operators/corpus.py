@@ -66,18 +66,20 @@ def flatten(messages: DataFrame, events: DataFrame | None = None, labels: DataFr
 def attributed_models(rows: DataFrame) -> DataFrame:
     """Fills missing models: explicit, the session's only one, the one on both (or the only known) sides, else ambiguous or unknown.
 
-    The nearest known models before and after are two frames over the session's order; no self-join.
+    The nearest known models before and after are running frames over the session's order and over its mirror image, as a frame that
+    ends at the last row is counted anew for every row; no join.  Rows with one turn and id are ordered by their model, unknown first.
     """
     model = F.when((F.trim("model") != "") & ~F.startswith(F.trim("model"), F.lit("<")), F.trim("model"))
-    w = Window.partitionBy("session").orderBy("turn", "id")
-    rows = rows.withColumn("__m", model)
-    names = rows.groupBy("session").agg(F.min("__m").alias("__one"), F.count_distinct("__m").alias("__n"))
-    near = rows.withColumn("__before", F.last("__m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__after", F.first("__m", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    near = near.join(names, near["session"].eqNullSafe(names["session"]), "left").drop(names["session"])
+    order = ["turn", "id", "__m"]
+    w, mirror = Window.partitionBy("session").orderBy(*order), Window.partitionBy("session").orderBy(*map(F.desc, order))
+    whole, earlier = (Window.unboundedPreceding, Window.unboundedFollowing), (Window.unboundedPreceding, -1)
+    near = rows.withColumn("__m", model).withColumn("__after", F.last("__m", ignorenulls=True).over(mirror.rowsBetween(*earlier)))
+    near = near.withColumns({"__before": F.last("__m", ignorenulls=True).over(w.rowsBetween(*earlier)), "__one": F.min("__m").over(w.rowsBetween(*whole)), "__most": F.max("__m").over(w.rowsBetween(*whole))})
+    single = F.col("__one") == F.col("__most")
     agree = F.col("__before").isNull() | F.col("__after").isNull() | (F.col("__before") == F.col("__after"))
-    source = F.when(F.col("__m").isNotNull(), "explicit").when(F.col("__n") == 0, "unknown").when(F.col("__n") == 1, "session").when(agree, "temporal_session").otherwise("ambiguous_session")
-    filled = F.when(F.col("__m").isNotNull(), F.col("__m")).when(F.col("__n") == 1, F.col("__one")).when((F.col("__n") > 1) & agree, F.coalesce("__before", "__after")).otherwise("")
-    return near.withColumn("model", filled).withColumn("model_source", source).drop("__m", "__one", "__n", "__before", "__after")
+    source = F.when(F.col("__m").isNotNull(), "explicit").when(F.col("__one").isNull(), "unknown").when(single, "session").when(agree, "temporal_session").otherwise("ambiguous_session")
+    filled = F.when(F.col("__m").isNotNull(), F.col("__m")).when(single, F.col("__one")).when(agree, F.coalesce("__before", "__after", F.lit(""))).otherwise("")
+    return near.withColumn("model", filled).withColumn("model_source", source).drop("__m", "__one", "__most", "__before", "__after")
 
 
 def deduplicated(messages: DataFrame) -> DataFrame:
