@@ -6,7 +6,8 @@ import sqlite3
 
 import pytest
 
-from tracelode.sources import registry, sinks
+from tracelode import catalog_sources
+from tracelode.sources import common, registry, sinks
 
 
 def put(path, rows):
@@ -159,3 +160,37 @@ def test_empty_store(spark, tmp_path):
     put(tmp_path / "e" / "x.jsonl", [""])
     messages, events, intake = registry.READERS["claude"](spark, str(tmp_path / "e"))
     assert messages.count() == 0 and events.count() == 0 and intake.count() == 0
+
+
+def test_lines_once(spark, tmp_path):
+    """Many small files are read once and by few tasks; the setting for that stays out of the caller's session."""
+    for i in range(60):
+        put(tmp_path / f"{i}.jsonl", [str(i), "", f'"{i}é"'])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    once = common.lines_once(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert rows(once, "file", "ordinal", "value") == rows(common.lines(spark, str(tmp_path)), "file", "ordinal", "value") and once.count() == 120
+    assert not [f for f in once.inputFiles() if f.endswith(".jsonl")]
+
+
+def test_files_by_key(spark, tmp_path):
+    talk = spark.createDataFrame([(f"s/{i % 5}", i, f"line {i} é") for i in range(100)], "key string, n int, value string")
+    ordered = talk.repartition(3, "key").sortWithinPartitions("key", "n").select("key", "value")
+    for _ in range(2):  # a second run replaces the same files
+        assert sum(r.files for r in ordered.mapInArrow(sinks.files_by_key(f"file:{tmp_path}/a b%20"), "files bigint").collect()) == 5
+    found = [p for p in (tmp_path / "a b%20").rglob("*") if p.is_file()]
+    assert sorted(p.read_text() for p in found) == sorted("".join(f"line {i} é\n" for i in range(k, 100, 5)) for k in range(5))
+
+
+def raw_table(spark, tmp_path):
+    given = [(i, f"s-{i % 50}", i // 50, f"ask {i}", f"say {i}", 1_704_067_200_000 + i * 1000, f"m{i % 3}") for i in range(150)]
+    spark.createDataFrame(given, "rm_id bigint, session string, turn int, text string, reply string, ts bigint, model string").write.parquet(f"{tmp_path}/raw_messages.parquet")
+    return sorted((s, n, text, reply, ts, model) for _, s, n, text, reply, ts, model in given)
+
+
+def test_scan_codex_store(spark, tmp_path):
+    """The messages come from the lines that were read once."""
+    want = raw_table(spark, tmp_path)
+    out = catalog_sources.scan_codex(spark, str(tmp_path))
+    assert rows(out, "session", "turn", "text", "reply", "ts", "model") == want
+    assert not [f for f in out.inputFiles() if f.endswith(".txt")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelode import schema
 from tracelode.operators import lexical
 from tracelode.operators.filters import QuerySpec
+from tracelode.plans import workspace
 from tracelode.plans.workspace import Workspace
 from tracelode.sources import json_files, jsonl, sinks, tables
 
@@ -32,8 +33,8 @@ def _talk(spark, d) -> DataFrame:
     return tables.messages(spark, d).filter("session is not null").select("session", "rm_id", n.alias("n"), "text", F.coalesce("reply", F.lit("")).alias("reply"), when.alias("when"), F.coalesce(F.trim("model"), F.lit("")).alias("model"))
 
 
-def _store(spark, d, name: str, records: list[Column], *, first: Column | None = None, by_session: bool = True, document: Column | None = None) -> str:
-    """Writes the records of each message as lines, a file a session if asked; returns the folder."""
+def _store(spark, d, name: str, records: list[Column], *, first: Column | None = None, by_session: bool = True, by_folder: bool = True, document: Column | None = None) -> str:
+    """Writes the records of each message as lines, a file a session if asked, each in a folder of its own if asked; returns the folder."""
     talk, work = _talk(spark, d), Workspace(spark, name)
     path = f"{work.path}/store"
     if document is not None:
@@ -41,10 +42,13 @@ def _store(spark, d, name: str, records: list[Column], *, first: Column | None =
         flat = docs.select("session", F.to_json(F.struct(F.col("session").alias("sessionId"), F.flatten(F.transform("rows", lambda r: F.array(*(r[f"c{i}"] for i in range(len(records)))))).alias("messages"))).alias("value"))
         flat.repartition("session").write.partitionBy("session").text(path)
         return path
-    lines = talk.select("session", "n", F.posexplode(F.array(*records)).alias("k", "value")).filter("value is not null")
-    if first is not None:
-        lines = lines.unionByName(talk.filter("n = 0").select("session", F.lit(-1).alias("n"), F.lit(0).alias("k"), first.alias("value")))
+    # a session's opening line goes with its first message: the branches of a union keep their own partitions, and a repartition over them may be left out
+    opening = [F.when(F.col("n") == 0, first)] if first is not None else []
+    lines = talk.select("session", "n", F.posexplode(F.array(*opening, *records)).alias("k", "value")).filter("value is not null")
     ordered = lines.repartition("session").sortWithinPartitions("session", "n", "k")
+    if by_session and not by_folder and workspace.scheme(spark, path) == "file":
+        ordered.select("session", "value").mapInArrow(sinks.files_by_key(path), "files bigint").agg(F.sum("files")).collect()
+        return path
     (ordered.select("session", "value").write.partitionBy("session") if by_session else ordered.select("value").write).text(path)
     return path
 
@@ -94,7 +98,7 @@ def scan_codex(spark, d):
     user = _json(type=F.lit("response_item"), timestamp=F.col("when"), payload=_s(type=F.lit("message"), role=F.lit("user"), content=part("input_text", F.col("text"))))
     injected = _json(type=F.lit("response_item"), payload=_s(type=F.lit("message"), role=F.lit("user"), content=part("input_text", F.lit("injected context that nobody sent"))))
     answer = _json(type=F.lit("response_item"), payload=_s(type=F.lit("message"), role=F.lit("assistant"), content=part("output_text", F.col("reply"))))
-    path = _store(spark, d, "codex", [context, sent, user, injected, answer], first=first)
+    path = _store(spark, d, "codex", [context, sent, user, injected, answer], first=first, by_folder=False)
     return jsonl.codex(spark, path, "*.txt")[0].select("session", "turn", "text", "reply", "ts", "model")
 
 

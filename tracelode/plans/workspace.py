@@ -38,6 +38,11 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def scheme(spark: SparkSession, path: str) -> str:
+    """Of the file system that a path belongs to; ``file`` is one that all tasks see as a disk."""
+    return _fs(spark, path)[0].getUri().getScheme()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = _fs(spark, path)
     return fs.exists(jpath)

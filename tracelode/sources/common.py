@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracelode import schema
 from tracelode.functions import text as fx
+from tracelode.plans.workspace import Workspace
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -29,6 +30,20 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     return placed.filter(F.trim("value") != "")
 
 
+def lines_once(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """``lines``, read once into a durable table, for readers that go over them several times.
+
+    Spark counts a file as 4 MB at least, which makes a task of every few files where a store holds one small file a session; here it
+    counts as 64 KB, in a session of its own as the setting belongs to sessions.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.openCostInBytes", "64k")
+    return Workspace(spark, "lines").save(lines(own, path, glob), "lines")
+
+
 def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(file, value): whole JSON files."""
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")

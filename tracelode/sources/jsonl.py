@@ -53,7 +53,7 @@ def claude(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataF
 
 def codex(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame, DataFrame]:
     """A codex store: user text counts if a logged submission is a prefix of it; the model of a turn context holds onward."""
-    raw = common.lines(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("pt", field("payload.type"))
+    raw = common.lines_once(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("pt", field("payload.type"))
     w = Window.partitionBy("file").orderBy("ordinal")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     meta = F.when(F.col("type") == "session_meta", field("payload.id"))
