@@ -194,3 +194,10 @@ def test_scan_codex_store(spark, tmp_path):
     out = catalog_sources.scan_codex(spark, str(tmp_path))
     assert rows(out, "session", "turn", "text", "reply", "ts", "model") == want
     assert not [f for f in out.inputFiles() if f.endswith(".txt")]
+
+
+def test_scan_pi_store(spark, tmp_path):
+    want = raw_table(spark, tmp_path)
+    out = catalog_sources.scan_pi(spark, str(tmp_path))
+    assert rows(out, "session", "turn", "text", "reply", "ts", "model") == want
+    assert not [f for f in out.inputFiles() if f.endswith(".txt")]

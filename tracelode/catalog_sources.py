@@ -119,7 +119,7 @@ def scan_pi(spark, d):
     user = _json(type=F.lit("message"), id=here, parentId=before, timestamp=F.col("when"), message=_s(role=F.lit("user"), content=F.col("text")))
     dead = _json(type=F.lit("message"), id=F.concat(F.lit("x"), "n"), parentId=here, message=_s(role=F.lit("assistant"), content=F.lit("abandoned")))
     answer = _json(type=F.lit("message"), id=F.concat(F.lit("a"), "n"), parentId=here, message=_s(role=F.lit("assistant"), model=F.col("model"), content=F.col("reply")))
-    path = _store(spark, d, "pi", [user, dead, answer], first=first)
+    path = _store(spark, d, "pi", [user, dead, answer], first=first, by_folder=False)
     return jsonl.pi(spark, path, glob="*.txt")[0].select("session", "turn", "text", "reply", "ts", "model")
 
 

@@ -131,7 +131,7 @@ def pi(spark: SparkSession, path: str, agent: str = "pi", glob: str = "*.jsonl*"
     """
     from tracelode.operators.hierarchy import nested_sets
 
-    raw = common.lines(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("rid", field("id"))
+    raw = common.lines_once(spark, path, glob).withColumn("ok", common.is_json()).withColumn("type", field("type")).withColumn("rid", field("id"))
     head = raw.filter("type = 'session'").groupBy("file").agg(F.first(field("id")).alias("session"), F.first(field("cwd")).alias("cwd"))
     body = raw.filter("type <> 'session' or not ok").join(head, "file", "left").withColumn("session", F.coalesce("session", common.stem(F.col("file"))))
     key = lambda c: F.concat("file", F.lit("\n"), c)
